@@ -96,10 +96,10 @@ def replicate(side: DataFrame, plan: Plan, key: str, shard: str = "shard") -> Da
     return side.withColumn(shard, F.explode(F.sequence(F.lit(0), count - 1)))
 
 
-def fragment_replicate_join(big: DataFrame, side: DataFrame, plan: Plan, key: str, record: Column, how: str = "inner") -> DataFrame:
-    """Join on ``key`` so that no task gets more than its share of a hot key. Null keys match nothing."""
-    left = with_slot(big, plan, key, record)
-    return left.join(replicate(side, plan, key), [key, "shard"], how).drop("slot", "shard")
+def fragment_replicate_join(big: DataFrame, side: DataFrame, plan: Plan, key: str, record: Column, how: str = "inner", on: tuple[str, ...] = ()) -> DataFrame:
+    """Join on ``key`` (and ``on``) so that no task gets more than its share of a hot key. Null keys match nothing."""
+    left = with_slot(big, plan, key, record).drop("slot")
+    return left.join(replicate(side, plan, key), [key, "shard", *on], how).drop("shard")
 
 
 def balanced_counts(rows: DataFrame, plan: Plan, key: str, record: str, amount: str) -> DataFrame:
