@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 LABELS = ("clean", "abusive", "hateful", "sexual")
 REVIEWED = 8000
 BITS, DIM = 17, 24
-EASY, STEPS = 16000, 500
+EASY, STEPS = 16000, 400
 NGRAMS = (3, 4, 5)
 THRESHOLD = 0.5
 BASE = np.uint64(0x100000001B3 | 1)
@@ -139,7 +139,7 @@ class Model:
         return (self.e @ self.w).astype(np.float64), self.b.astype(np.float64)
 
 
-def train(texts: list[str], labels: list[str], rounds: int = 2) -> tuple[np.ndarray, np.ndarray]:
+def train(texts: list[str], labels: list[str], rounds: int = 4) -> tuple[np.ndarray, np.ndarray]:
     """``(table, bias)`` fitted to reviewed texts; without a text of another label than clean nothing is ever found.
 
     In each round two halves of the documents are scored by models of the other half, so that no sentence explains a
@@ -169,30 +169,30 @@ def train(texts: list[str], labels: list[str], rounds: int = 2) -> tuple[np.ndar
     weight[positive] = 1 / np.sqrt(np.bincount(doc)[doc[positive]])
     hard = np.zeros(len(doc), bool)
 
-    def fit(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def fit(rows: np.ndarray, most: float = 12) -> tuple[np.ndarray, np.ndarray]:
         rows = rows[weight[rows] > 0]
         easy = (label[rows] == 0) & ~hard[rows]
         keep = ~easy
         keep[rng.permutation(np.flatnonzero(easy))[:EASY]] = True
         rows = rows[keep]
         bad = label[rows] > 0
-        up = np.clip(0.4 / 0.6 * weight[rows][~bad].sum() / max(weight[rows][bad].sum(), 1e-9), 1, 12)
+        up = np.clip(0.4 / 0.6 * weight[rows][~bad].sum() / max(weight[rows][bad].sum(), 1e-9), 1, most)
         model = Model()
         steps = max(STEPS, 3 * len(rows) // 128)
         model.fit(*_rows(idx, ends, sent[rows]), label[rows], (weight[rows] * np.where(bad, up, 1)).astype(np.float32), epochs=-(-steps * 128 // len(rows)))
         return model.tables()
 
-    for _ in range(rounds):
+    for r in range(rounds):
         harm = np.zeros(len(doc))
         for k in (0, 1):
             other, own = np.flatnonzero(half != k), np.flatnonzero(half == k)
             if len(other) and len(own):
-                table, bias = fit(other)
+                table, bias = fit(other, 12 if r else 4)
                 used, back = np.unique(sent[own], return_inverse=True)
                 harm[own] = 1 - probabilities(table, bias, [lines[i] for i in used])[:, 0][back]
         top = np.zeros(len(texts))
         np.maximum.at(top, doc, harm)
-        explains = positive & (harm >= np.maximum(0.6 * top[doc], 0.5))
+        explains = positive & (harm >= np.maximum(0.7 * top[doc], 0.5 if r == 0 else 0.7))
         label, weight = np.where(explains, y_doc[doc], 0), np.ones(len(doc))
         weight[positive & ~explains] = np.where(harm[positive & ~explains] < 0.1, 0.5, 0)
         weight[~positive & (harm > 0.97)] = 0
