@@ -3,11 +3,47 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltworks.llm import lines, packing, terms, tokens
+from siltworks.llm import abuse, lines, packing, stuffing, terms, tokens
 from siltworks.plans.sqlparts import key_sql, occurrences_sql, term_sql
 from siltworks.sources import table
 
 
+def _labelled(spark: SparkSession, d: str) -> DataFrame:
+    return stuffing.labelled_pages(table(spark, d, "visited_pages"), table(spark, d, "page_labels"))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return stuffing.stuffed_pages(_labelled(spark, d))
+
+
+def p2_scores(spark: SparkSession, d: str) -> DataFrame:
+    return _labelled(spark, d).select("page_id", "filler")
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return stuffing.furniture_lines(_labelled(spark, d))
+
+
+def p6_main_text(spark: SparkSession, d: str) -> DataFrame:
+    return stuffing.main_text(table(spark, d, "visited_pages"), table(spark, d, "page_labels"))
+
+
+def _scored(spark: SparkSession, d: str) -> DataFrame:
+    return abuse.score_documents(table(spark, d, "documents"), table(spark, d, "doc_labels"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return _scored(spark, d).where(F.col("score") >= abuse.THRESHOLD).select("doc_id").distinct()
+
+
+def p10_scores(spark: SparkSession, d: str) -> DataFrame:
+    return _scored(spark, d)
+
+
+def p10_rates(spark: SparkSession, d: str) -> DataFrame:
+    return abuse.source_rates(_scored(spark, d))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return lines.repeated_lines(table(spark, d, "visited_pages"))
 
@@ -64,6 +100,8 @@ pages as (select regexp_extract(page, '^https?://([^/]*)', 1) site, count(distin
 select site, line from own join pages using (site) where line <> '' group by site, line, n having count(*) >= 3 and count(*) * 20 >= n"""
 
 QUERIES = {
+    "p2_found": p2_found,
+    "p2_scores": p2_scores,
     "p3_found": p3_found,
     "p3_cleaned": p3_cleaned,
     "p3_blocks": p3_blocks,
@@ -71,9 +109,14 @@ QUERIES = {
     "p4_scores": p4_scores,
     "p5_found": p5_found,
     "p5_counts": p5_counts,
+    "p6_found": p6_found,
+    "p6_main_text": p6_main_text,
     "p8_ids": p8_ids,
     "p9_packed": p9_packed,
     "p9_fill": p9_fill,
+    "p10_found": p10_found,
+    "p10_scores": p10_scores,
+    "p10_rates": p10_rates,
 }
 SQL = {
     "p3_found": _LINES,
