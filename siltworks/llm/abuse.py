@@ -16,9 +16,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 LABELS = ("clean", "abusive", "hateful", "sexual")
-REVIEWED = 8000
+REVIEWED = 12000
 BITS, DIM = 17, 24
 EASY, STEPS = 16000, 400
+LEAST = (0.5, 0.6, 0.5, 0.35)
 NGRAMS = (3, 4, 5)
 THRESHOLD = 0.5
 BASE = np.uint64(0x100000001B3 | 1)
@@ -178,7 +179,7 @@ def train(texts: list[str], labels: list[str], rounds: int = 4) -> tuple[np.ndar
         bad = label[rows] > 0
         up = np.clip(0.4 / 0.6 * weight[rows][~bad].sum() / max(weight[rows][bad].sum(), 1e-9), 1, most)
         model = Model()
-        steps = max(STEPS, 3 * len(rows) // 128)
+        steps = int(np.clip(len(rows) // 25, STEPS // 4, STEPS))
         model.fit(*_rows(idx, ends, sent[rows]), label[rows], (weight[rows] * np.where(bad, up, 1)).astype(np.float32), epochs=-(-steps * 128 // len(rows)))
         return model.tables()
 
@@ -192,7 +193,7 @@ def train(texts: list[str], labels: list[str], rounds: int = 4) -> tuple[np.ndar
                 harm[own] = 1 - probabilities(table, bias, [lines[i] for i in used])[:, 0][back]
         top = np.zeros(len(texts))
         np.maximum.at(top, doc, harm)
-        explains = positive & (harm >= np.maximum(0.7 * top[doc], 0.5 if r == 0 else 0.7))
+        explains = positive & (harm >= np.maximum(0.7 * top[doc], LEAST[min(r, len(LEAST) - 1)]))
         label, weight = np.where(explains, y_doc[doc], 0), np.ones(len(doc))
         weight[positive & ~explains] = np.where(harm[positive & ~explains] < 0.1, 0.5, 0)
         weight[~positive & (harm > 0.97)] = 0
