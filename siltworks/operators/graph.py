@@ -44,13 +44,18 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = DAMPING, toler
     kept = inside.join(out, "src").repartition("src").persist(StorageLevel.MEMORY_AND_DISK)
     n = nodes.count()
     ranks = nodes.join(out.withColumnRenamed("src", "node"), "node", "left").select("node", F.col("out_degree").isNull().alias("sink"), F.lit(1.0 / max(n, 1)).alias("rank")).checkpoint()
+    on_sinks = lambda c: F.coalesce(F.sum(F.when(F.col("sink"), F.col(c))), F.lit(0.0))
+    lost = ranks.agg(on_sinks("rank")).first()[0]
+    held = None
     for i in range(rounds if n else 0):
-        lost = ranks.where("sink").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost")).first()[0]
         sent = kept.join(ranks.select(F.col("node").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("rank") / F.col("out_degree")).alias("got"))
         base = (1 - damping) / n + damping * lost / n
         new = ranks.join(sent, "node", "left").select("node", "sink", (F.lit(base) + damping * F.coalesce("got", F.lit(0.0))).alias("new"), "rank")
         new = new.checkpoint() if i % cut_every == cut_every - 1 else new.persist(StorageLevel.MEMORY_AND_DISK)
-        moved = new.agg(F.max(F.abs(F.col("new") - F.col("rank")))).first()[0]
+        moved, lost = new.agg(F.max(F.abs(F.col("new") - F.col("rank"))), on_sinks("new")).first()
+        if held is not None:
+            held.unpersist()
+        held = new
         ranks = new.select("node", "sink", F.col("new").alias("rank"))
         if moved <= tolerance:
             break

@@ -13,7 +13,7 @@ from siltworks.plans.sqlparts import key_sql
 from siltworks.sources import table
 from siltworks.streaming import incremental
 
-QUERY, PHRASE, TERM, PREFIX = "quiet river museum", '"is ready"', "river", "the "
+QUERY, PHRASE, TERM, PREFIX = "quiet river museum", '"knows why"', "river", "the "
 ROBOTS = "User-agent: *\nDisallow: /guides\nDisallow:\nUser-agent: OtherBot\nDisallow: /\nUser-agent: MyCrawler/1.0\nDisallow: /item/q"
 
 QUERIES, SQL = {}, {}
@@ -77,13 +77,13 @@ def _snippets(source: str, key: str, t: str) -> str:
     """CTEs wl(key, words) and snips(key, term, at, snippet) of every raw word."""
     split = f"string_split_regex({t}, '{_S}+')"
     return f"""wl as materialized (select {key}, case when l[-1] = '' then l[:-2] else l end words from (select {key}, {split} l from {source} where {t} is not null)),
-wx as materialized (select {key}, unnest(words) word, generate_subscripts(words, 1) - 1 as at from wl),
+wx as materialized (select {key}, unnest(words) word, generate_subscripts(words, 1) - 1 as spot from wl),
 wv as materialized ({stem_sql("select distinct lower(word) as lw from wx", "lw", "stem")}),
-ws as materialized (select {key}, list(stem order by at) stems from wx join wv on lower(word) = lw group by 1),
-occ as (select {key}, words, stems, unnest(stems) term, generate_subscripts(stems, 1) - 1 as at from wl join ws using ({key})),
-cut as (select *, len(words) n, greatest(0, at - 30) a, least(len(words), greatest(0, at - 30) + 60) e from occ where length(term) > 0),
+ws as materialized (select {key}, list(stem order by spot) stems from wx join wv on lower(word) = lw group by 1),
+occ as (select {key}, words, stems, unnest(stems) term, generate_subscripts(stems, 1) - 1 as spot from wl join ws using ({key})),
+cut as (select *, len(words) n, greatest(0, spot - 30) a, least(len(words), greatest(0, spot - 30) + 60) e from occ where length(term) > 0),
 win as (select *, case when e - a < 60 then greatest(0, e - 60) else a end s from cut),
-snips as (select {key}, term, at, trim(case when s > 0 then '... ' else '' end || array_to_string(list_transform(range(s + 1, e + 1), lambda i: case when stems[i] = term then '<b>' || words[i] || '</b>' else words[i] end), ' ') || case when e < n then '...' else '' end, ' ') snippet from win)"""
+snips as (select {key}, term, spot, trim(case when s > 0 then '... ' else '' end || array_to_string(list_transform(range(s + 1, e + 1), lambda i: case when stems[i] = term then '<b>' || words[i] || '</b>' else words[i] end), ' ') || case when e < n then '...' else '' end, ' ') snippet from win)"""
 
 
 # ---- urls ----
@@ -229,7 +229,7 @@ def page_content(s, d):
     return html.block_text(_html(s, d), "url", "html")
 
 
-@query(f"with {_CURRENT} select url, {_sq('coalesce(title, chr(32)) || chr(32) || content || chr(32)')} || ' item inner' || case when len(links) > 0 then ' ' || array_to_string(list_transform(links, lambda x: 'go'), ' ') else '' end as body from cur")
+@query(f"with {_CURRENT} select url, {_sq('coalesce(title, chr(32)) || chr(32) || content || chr(32)')} || ' item inner' || case when len(links) > 0 then ' ' || array_to_string(list_transform(list_filter(links, lambda x: x is not null), lambda x: 'go'), ' ') else '' end as body from cur")
 def page_text(s, d):
     return _html(s, d).select("url", html.full_text(F.col("html")).alias("body"))
 
@@ -303,15 +303,15 @@ def heading_flags(s, d):
 _PAGE_INDEX = f"{_CURRENT}, {_tokens('cur', 'url', 'content')}, {_snippets('cur', 'url', 'content')}"
 
 
-@query(f"with {_PAGE_INDEX} select url, term, list(snippet order by at) as snippets from snips join tfs using (url, term) group by 1, 2")
+@query(f"with {_PAGE_INDEX} select url, term, list(snippet order by spot) as snippets from snips join tfs using (url, term) group by 1, 2")
 def snippets60(s, d):
     pages = _current(s, d)
     return index.snippets(pages, index.term_frequencies(pages, "url", "content"), "url", "content")
 
 
 @query(f"""with {_CURRENT}, {_snippets('cur', 'url', 'content')}, bare as materialized ({stem_sql("select distinct regexp_replace(lower(word), '[^a-z0-9_]', '', 'g') as b from wx", "b", "stem2")}),
-bx as (select url, at, array_to_string(words[greatest(at - 34, 1) : at + 36], ' ') near from wx join bare on regexp_replace(lower(word), '[^a-z0-9_]', '', 'g') = b join wl using (url) where stem2 = '{TERM}')
-select url, string_agg('- ' || near, chr(10) order by at) as snippet from bx group by 1""")
+bx as (select url, spot, array_to_string(words[greatest(spot - 34, 1) : spot + 36], ' ') near from wx join bare on regexp_replace(lower(word), '[^a-z0-9_]', '', 'g') = b join wl using (url) where stem2 = '{TERM}')
+select url, string_agg('- ' || near, chr(10) order by spot) as snippet from bx group by 1""")
 def snippet35(s, d):
     return index.wide_snippets(_current(s, d), "url", "content", TERM)
 
@@ -462,9 +462,9 @@ def _search_sql(terms: str, words: str, where: str = "true") -> str:
     hit = " + ".join(f"contains(lower(title), '{w}')::int" for w in words)
     return f"""with {_PAGE_INDEX}, q as ({stem_sql(terms, "w", "term")}),
 st as (select term, ln((select count(*) from cur) / (1 + count(*))) as idf from tfs group by 1),
-sn as (select url, term, list(snippet order by at) as snippets from snips join (select distinct term from q) using (term) group by 1, 2),
+sn as (select url, term, list(snippet order by spot) as snippets from snips join (select distinct term from q) using (term) group by 1, 2),
 rows as (select t.*, title, coalesce(page_rank, 0.0) as pr, idf, sn.snippets, regexp_replace(regexp_replace(lower(trim(t.url)), '#.*$', ''), '/+$', '') as link from tfs t join (select distinct term from q) using (term) join st using (term) join cur using (url) left join sn on sn.url = t.url and sn.term = t.term where {where}),
-comp as (select link, sum(tf * idf) as tfidf, max(pr) as page_rank, sum(coalesce({hit}, 0)) as title_matches, least(sum(case when contains(lower(title), term) then 0.45 else 0.0 end), 0.45)::double as heading, arg_min(title, (term, url)) as title, arg_max(snippets, (term, url)) as snippets from rows group by 1),
+comp as (select link, sum(tf * idf) as tfidf, max(pr) as page_rank, sum(coalesce({hit}, 0)) as title_matches, least(sum(case when contains(lower(title), term) then 0.45 else 0.0 end), 0.45)::double as heading, arg_min(title, (term, url)) as title, arg_max(coalesce(snippets, []), (term, url)) as snippets from rows group by 1),
 ranked as (select *, 0.4 * (tfidf / max(tfidf) over ()) + 0.3 * (page_rank / max(page_rank) over ()) + 0.7 * title_matches / {n} + heading as score from comp)"""
 
 
@@ -495,14 +495,14 @@ def search_total(s, d):
     return search.total(search.search(s, QUERY, *_lean_index(s, d, QUERY)))
 
 
-_IN_SNIPPET = rf"regexp_matches(replace(replace(x, '<b>', ''), '</b>', ''), '(\A|{_EDGE})is ready(\z|{_EDGE})')"
-_PHRASE_SEARCH = _search_sql("select unnest(['is', 'ready']) as w", [PHRASE], f"len(list_filter(sn.snippets, lambda x: {_IN_SNIPPET})) > 0")
+_IN_SNIPPET = rf"regexp_matches(replace(replace(x, '<b>', ''), '</b>', ''), '(\A|{_EDGE})knows why(\z|{_EDGE})')"
+_PHRASE_SEARCH = _search_sql("select unnest(['knows', 'why']) as w", [PHRASE], f"len(list_filter(sn.snippets, lambda x: {_IN_SNIPPET})) > 0")
 
 
 @query(
     f"""{_PHRASE_SEARCH}, found as (select *, replace(replace(list_filter(snippets, lambda x: {_IN_SNIPPET})[1], '<b>', ''), '</b>', '') as p from ranked),
-at as (select *, instr(p, 'is ready') as i from found)
-select null::varchar as term, link as url, title, substring(p, 1, i - 1) || '<b>is ready</b>' || substring(p, case when i + 7 >= length(p) then length(p) else i + 8 end) as snippet, null::varchar as id, round(score, 9) as score from at"""
+placed as (select *, instr(p, 'knows why') as i from found)
+select null::varchar as term, link as url, title, substring(p, 1, i - 1) || '<b>knows why</b>' || substring(p, case when i + 8 >= length(p) then length(p) else i + 9 end) as snippet, null::varchar as id, round(score, 9) as score from placed"""
 )
 def search_phrase(s, d):
     return search.search(s, PHRASE, *_lean_index(s, d, PHRASE[1:-1])).withColumn("score", F.round("score", 9))
@@ -573,7 +573,7 @@ def incremental_index(s, d):
     folder = s.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="siltworks-")
     base = f"{folder.rstrip('/')}/stream-{s.range(1).select(F.uuid()).first()[0]}"
     schema = table(s, d, "documents").schema
-    incremental.index_stream(s, f"{d}/documents.parquet", schema, f"{base}/index", f"{base}/log", "doc_id", "text").awaitTermination()
+    incremental.index_stream(s, f"{d}/documents.parque[t]", schema, f"{base}/index", f"{base}/log", "doc_id", "text").awaitTermination()
     return index.document_frequencies(s.read.parquet(f"{base}/index/postings"), "doc_id")
 
 
