@@ -21,6 +21,8 @@ BITS, DIM = 17, 24
 EASY, STEPS = 16000, 400
 LEAST = (0.5, 0.6, 0.5, 0.35)
 NGRAMS = (3, 4, 5)
+#: Bound of embeddings and softmax weights, and eight times that of a step.
+WIDEST = 4.0
 THRESHOLD = 0.5
 BASE = np.uint64(0x100000001B3 | 1)
 
@@ -109,10 +111,11 @@ class Model:
         self.w = self.rng.normal(0, 0.3, (dim, len(LABELS))).astype(np.float32)
         self.b = np.zeros(len(LABELS), np.float32)
 
-    def fit(self, idx: np.ndarray, ends: np.ndarray, y: np.ndarray, weight: np.ndarray, epochs: int, rate: float = 6.0, batch: int = 128) -> None:
+    def fit(self, idx: np.ndarray, ends: np.ndarray, y: np.ndarray, weight: np.ndarray, epochs: int, rate: float = 4.0, batch: int = 128) -> None:
         """Joint gradient descent on embeddings and softmax over sentences in compressed rows."""
         starts = np.concatenate([[0], ends[:-1]])
         target = np.eye(len(LABELS), dtype=np.float32)[y]
+        weight = np.minimum(weight / weight.mean(), 8).astype(np.float32)
         steps, done = epochs * -(-len(y) // batch), 0
         for _ in range(epochs):
             order = self.rng.permutation(len(y))
@@ -128,12 +131,14 @@ class Model:
                 g = (p - target[rows]) * weight[rows, None]
                 lr = rate * (1 - done / steps) + 0.05
                 dh = (g @ self.w.T) * lr
-                self.w -= lr / len(rows) * (h.T @ g)
+                self.w -= min(lr, 1.0) / len(rows) * (h.T @ g)
+                np.clip(self.w, -WIDEST, WIDEST, out=self.w)
                 self.b -= lr / len(rows) * g.sum(0)
                 by = np.argsort(f, kind="stable")
                 head = np.flatnonzero(np.diff(f[by], prepend=-1))
                 step = np.repeat((dh / size[:, None]).astype(np.float32), size, axis=0)[by]
-                self.e[f[by][head]] -= np.add.reduceat(step, head, axis=0)
+                moved = np.clip(np.add.reduceat(step, head, axis=0), -WIDEST / 8, WIDEST / 8)
+                self.e[f[by][head]] = np.clip(self.e[f[by][head]] - moved, -WIDEST, WIDEST)
                 done += 1
 
     def tables(self) -> tuple[np.ndarray, np.ndarray]:
