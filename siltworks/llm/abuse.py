@@ -23,7 +23,7 @@ LEAST = (0.5, 0.6, 0.5, 0.35)
 NGRAMS = (3, 4, 5)
 #: Bound of embeddings and softmax weights, and eight times that of a step.
 WIDEST = 4.0
-THRESHOLD = 0.5
+THRESHOLD = 0.3
 BASE = np.uint64(0x100000001B3 | 1)
 
 #: Letters of other scripts that look like Latin ones, and signs used for letters.
