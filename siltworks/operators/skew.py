@@ -58,10 +58,12 @@ def bin_pack(loads: list[tuple[tuple[str, int], int]], tasks: int) -> tuple[dict
 
 def plan_tasks(spark: SparkSession, loads: DataFrame, tasks: int, share: float = SHARE, groups: int = GROUPS) -> Plan:
     """Fit a plan to ``loads(key, load)``; empty loads give a plan without split keys."""
+    loads = loads.persist()
     total = loads.agg(F.sum("load")).first()[0] or 0
     heavy = F.col("load") > share * total
     split = {k: n for k, n in loads.where(heavy).collect()}
     light = loads.where(~heavy).groupBy(F.pmod(F.hash("key"), F.lit(groups)).alias("g")).agg(F.sum("load").alias("load")).collect()
+    loads.unpersist()
     fair = max(1.0, total / (tasks * 4))
     shards = {k: max(1, -(-n // int(fair))) for k, n in split.items()}
     units = [((k, s), -(-split[k] // c)) for k, c in shards.items() for s in range(c)] + [(("", g), n) for g, n in light]
@@ -128,10 +130,12 @@ def key_report(spark: SparkSession, postings: DataFrame, tasks: int | None = Non
     tasks = tasks or int(spark.conf.get("spark.sql.shuffle.partitions"))
     url = page_key(postings["url"])
     rows = postings.select(index_term(postings["term"]).alias("term"), url.alias("url"), site_of(url).alias("site"), occurrences(postings).alias("n"))
+    fields = F.explode(F.array(*[F.concat(F.lit(f"{f}\u0002"), F.col(f)) for f in ("term", "site")]))
+    own = rows.select(fields.alias("k"), "url", "n").where("k is not null and k <> 'site\u0002'")
+    plan = plan_tasks(spark, key_loads(own, "k"), tasks)
+    counts = balanced_counts(own, plan, "k", "url", "n")
     total = postings.agg(F.count("*").alias("total"))
-    out = []
-    for field in ("term", "site"):
-        own = rows.select(F.col(field).alias("k"), "url", "n").where("k is not null and k <> ''")
-        plan = plan_tasks(spark, key_loads(own, "k"), tasks)
-        out.append(balanced_counts(own, plan, "k", "url", "n").select(F.lit(field).alias("field_name"), "key_value", "pages", "occurrences", "n_rows"))
-    return out[0].unionByName(out[1]).crossJoin(F.broadcast(total)).withColumn("row_share", F.col("n_rows") / F.col("total")).drop("total")
+    named = counts.select(
+        F.substring_index("key_value", "\u0002", 1).alias("field_name"), F.expr("substring(key_value, 6)").alias("key_value"), "pages", "occurrences", "n_rows"
+    )
+    return named.crossJoin(F.broadcast(total)).withColumn("row_share", F.col("n_rows") / F.col("total")).drop("total")
