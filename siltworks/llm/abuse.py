@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 LABELS = ("clean", "abusive", "hateful", "sexual")
-REVIEWED = 12000
+REVIEWED = 8000
 BITS, DIM = 17, 24
 EASY, STEPS = 16000, 400
 LEAST = (0.5, 0.6, 0.5, 0.35)
@@ -163,9 +163,7 @@ def train(texts: list[str], labels: list[str], rounds: int = 4) -> tuple[np.ndar
         return np.zeros((1 << BITS, len(LABELS))), np.array([9.0, 0, 0, 0])
     pairs = np.unique(np.array(where), axis=0)
     lines = list(seen)
-    idx, owner = features(lines)
-    order = np.argsort(owner, kind="stable")
-    idx, ends = idx[order], np.cumsum(np.bincount(owner, minlength=len(lines)))
+    idx, ends = _compressed(lines)
     pairs = pairs[np.diff(ends, prepend=0)[pairs[:, 1]] > 0]
     doc, sent = pairs[:, 0], pairs[:, 1]
     positive = y_doc[doc] > 0
@@ -195,7 +193,7 @@ def train(texts: list[str], labels: list[str], rounds: int = 4) -> tuple[np.ndar
             if len(other) and len(own):
                 table, bias = fit(other, 12 if r else 4)
                 used, back = np.unique(sent[own], return_inverse=True)
-                harm[own] = 1 - probabilities(table, bias, [lines[i] for i in used])[:, 0][back]
+                harm[own] = _harm(table, bias, idx, ends, used)[back]
         top = np.zeros(len(texts))
         np.maximum.at(top, doc, harm)
         explains = positive & (harm >= np.maximum(0.7 * top[doc], LEAST[min(r, len(LEAST) - 1)]))
@@ -208,6 +206,29 @@ def train(texts: list[str], labels: list[str], rounds: int = 4) -> tuple[np.ndar
     return fit(np.arange(len(doc)))
 
 
+def _compressed(lines: list[str], chunk: int = 4000) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of all lines one after the other, and where each line's end; hashed in chunks to save memory."""
+    parts, sizes = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+    for k in range(0, len(lines), chunk):
+        some = lines[k : k + chunk]
+        idx, owner = features(some)
+        parts.append(idx[np.argsort(owner, kind="stable")].astype(np.int32))
+        sizes.append(np.bincount(owner, minlength=len(some)))
+    return np.concatenate(parts), np.cumsum(np.concatenate(sizes))
+
+
+def _harm(table: np.ndarray, bias: np.ndarray, idx: np.ndarray, ends: np.ndarray, rows: np.ndarray, chunk: int = 4000) -> np.ndarray:
+    """Probability of any label but clean of lines in compressed form."""
+    out = np.zeros(len(rows))
+    for k in range(0, len(rows), chunk):
+        part, last = _rows(idx, ends, rows[k : k + chunk])
+        first = np.concatenate([[0], last[:-1]])
+        z = np.add.reduceat(table[part], first, axis=0) / (last - first)[:, None] + bias
+        e = np.exp(z - z.max(1, keepdims=True))
+        out[k : k + chunk] = 1 - e[:, 0] / e.sum(1)
+    return out
+
+
 def _rows(idx: np.ndarray, ends: np.ndarray, sent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     starts = np.concatenate([[0], ends[:-1]])
     size = ends[sent] - starts[sent]
