@@ -47,7 +47,7 @@ def small_index(spark):
     rows = [
         ("https://a.org/Birds", "Birds of Egypt", "Birds of Egypt Birds live near water and birds sing. ", 0.4, ["Birds of Egypt"], []),
         ("https://b.org/ducks", "Ducks guide", "Ducks guide Water birds Ducks swim in water. ", 0.3, ["Ducks guide"], ["Water birds"]),
-        ("https://c.org/jsoup", "Parser", "Parser Parsing pages with selectors, water. ", 0.2, ["Parser"], []),
+        ("https://c.org/parser", "Parser", "Parser Parsing pages with selectors, water. ", 0.2, ["Parser"], []),
         ("https://d.org/cats", "Cats", "Cats Cats sleep all day long. ", 0.1, ["Cats"], []),
     ]
     pages = spark.createDataFrame(rows, "url string, title string, content string, page_rank double, h1 array<string>, h2 array<string>").withColumn("h3", F.array().cast("array<string>"))
