@@ -49,19 +49,31 @@ def hrefs(html: Column) -> Column:
     return F.transform(F.regexp_extract_all(visible(html), F.lit(r"""(?is)<a\b[^>]*?\bhref\s*=\s*["']([^"']*)["']"""), F.lit(1)), decode)
 
 
+def _without_dots(path: Column) -> Column:
+    """An absolute path without ``.`` and ``..`` segments; those above the root vanish."""
+    parts = F.split(path, "/")
+    step = lambda done, x: F.when(x == ".", done).when(x == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(1)))).otherwise(F.concat(done, F.array(x)))
+    kept = F.aggregate(F.slice(parts, 2, F.size(parts)), F.array(F.lit("")), step)
+    open_end = F.when(path.rlike(r"/\.\.?$"), "/").otherwise("")
+    return F.when(path.rlike(r"/\.\.?(/|$)"), F.concat(F.array_join(kept, "/"), open_end)).otherwise(path)
+
+
 def resolve(link: Column, base: Column) -> Column:
-    """Absolute form of a link on the page ``base``; ``''`` where there is none."""
+    """Absolute form of a link on the page ``base``; ``''`` where there is none. Blanks around a link don't count."""
     root = F.regexp_extract(base, r"^(https?://[^/?#]+)", 1)
     scheme = F.regexp_extract(base, r"^(https?:)", 1)
-    folder = F.regexp_replace(F.regexp_replace(base, r"[?#].*$", ""), r"^(https?://[^/]+(?:/.*)?)/[^/]*$", "$1")
+    page = F.regexp_replace(base, r"[?#].*$", "")
+    folder = F.regexp_replace(F.regexp_replace(page, r"^https?://[^/]+", ""), "/[^/]*$", "")
+    link = F.regexp_replace(link, r"^[\x00-\x20]+|[\x00-\x20]+$", "")
+    way, rest = F.regexp_extract(link, r"^([^?#]*)", 1), F.regexp_extract(link, r"(?s)^[^?#]*(.*)$", 1)
     return (
         F.when(root == "", "")
         .when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), link)
         .when(link.startswith("//"), F.concat(scheme, link))
-        .when(link.startswith("/"), F.concat(root, link))
+        .when(link.startswith("/"), F.concat(root, _without_dots(way), rest))
         .when(link.startswith("#") | (link == ""), F.concat(F.regexp_replace(base, "#.*$", ""), link))
-        .when(link.startswith("?"), F.concat(F.regexp_replace(base, r"[?#].*$", ""), link))
-        .otherwise(F.concat(folder, F.lit("/"), link))
+        .when(link.startswith("?"), F.concat(page, link))
+        .otherwise(F.concat(root, _without_dots(F.concat(folder, F.lit("/"), way)), rest))
     )
 
 

@@ -224,6 +224,12 @@ def page_links(s, d):
     return _html(s, d).join(plain.select("url"), "url", "left_semi").select("url", html.links(F.col("html"), F.col("url")).alias("links"))
 
 
+@query()
+def page_links_all(s, d):
+    """As page_links, for every current page: blank, relative and fragment links are resolved against the page's key; a null is no anchor."""
+    return _html(s, d).select("url", html.links(F.col("html"), F.col("url")).alias("links"))
+
+
 @query(f"with {_CURRENT} select url, {_TITLE} || ' ' || array_to_string(list_transform(string_split(content, chr(10)), lambda l: {_sq('l')} || ' '), '') || 'item inner inner ' as content from cur")
 def page_content(s, d):
     return html.block_text(_html(s, d), "url", "html")

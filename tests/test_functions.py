@@ -125,3 +125,25 @@ def test_html(spark):
     df = spark.createDataFrame([(1, PAGE), (2, None), (3, "")], "id int, h string")
     got = {r.id: r.content for r in html.block_text(df, "id", "h").collect()}
     assert got == {1: "Head One twothree item inner inner ", 2: "", 3: ""}
+
+
+def test_resolve_against_the_library(spark):
+    from urllib.parse import urljoin
+
+    bases = ["https://a.org", "https://a.org/b", "https://a.org/b/d/e", "http://h.a.org/b/d/"]
+    given = ["", " ", "\t ", "#top", " #top ", "?x=1", "q", " q.html ", "d/q?r=/../s#t", "/q", "/", "//h.org/z", "../q", "../../../q", "./q", ".", "..", "d/../q", "/b/./c/../q", "https://x.org/y?z", "mailto:a@b.org", "javascript:void(0)"]
+    rows = spark.createDataFrame([(b, x) for b in bases for x in given], "base string, link string")
+    got = {(r.base, r.link): r.to for r in rows.select("base", "link", html.resolve(F.col("link"), F.col("base")).alias("to")).collect()}
+    assert got == {(b, x): urljoin(b, x.strip()) for b in bases for x in given}
+
+
+def test_page_links_of_every_page(spark, tmp_path):
+    from urllib.parse import urljoin
+
+    from siltworks.plans.reference import page_links_all
+
+    links = {"a": ["https://x.org/1", None, " ", "#top"], "b/c": ["", "q?x=1", "../q", "/q", "//h.org/z", "?y=2"], "d": None, "e": [], "f": [None]}
+    rows = [(i, f"https://a.org/{p}", "T", "text", v, None, "2024-01-01", "2024-01-01") for i, (p, v) in enumerate(links.items())]
+    spark.createDataFrame(rows, "page_id long, url string, title string, content string, links array<string>, page_rank double, stored_at string, crawled_at string").write.parquet(f"{tmp_path}/visited_pages.parquet")
+    got = {r.url: r.links for r in page_links_all(spark, str(tmp_path)).collect()}
+    assert got == {u: [urljoin(u, x.strip()) for x in v or [] if x is not None] for u, v in ((f"https://a.org/{p}", v) for p, v in links.items())}
