@@ -11,7 +11,6 @@ from siltworks.functions.urls import page_key, site_of
 
 LEAST_PAGES, SHARE = 3, 20
 SHARD_PAGES = 1500
-DEEPEST = 64
 
 
 def line_form(line: Column) -> Column:
@@ -60,7 +59,7 @@ def suffix_array(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, common
 
 
-def repeated_blocks(symbols: np.ndarray, pages: np.ndarray, least: np.ndarray | int, deepest: int = DEEPEST) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def repeated_blocks(symbols: np.ndarray, pages: np.ndarray, least: np.ndarray | int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """For each depth the blocks of that many lines: (first positions, distinct pages, is maximal).
 
     ``symbols`` holds line ids >= 0 and one distinct negative separator behind each document; ``pages`` the page number
@@ -72,7 +71,7 @@ def repeated_blocks(symbols: np.ndarray, pages: np.ndarray, least: np.ndarray |
     keep = symbols[order] >= 0
     depth = 1
     counts_before: tuple[np.ndarray, np.ndarray] | None = None
-    while depth <= deepest and keep.any():
+    while keep.any():
         head = ~keep | ~np.concatenate([[False], keep[:-1]]) | (common < depth)
         group = np.cumsum(head) - 1
         inside = np.flatnonzero(keep)
@@ -100,11 +99,65 @@ def repeated_blocks(symbols: np.ndarray, pages: np.ndarray, least: np.ndarray |
         live = np.zeros(len(order), bool)
         live[ok] = symbols[nxt[ok]] >= 0
         keep &= live
+        # only what is still alive goes on; behind a gap a new group starts
+        counts_before = ((np.cumsum(keep) - keep)[counts_before[0]], counts_before[1])
+        common = np.where(np.concatenate([[False], keep[:-1]]), common, 0)[keep]
+        order, keep = order[keep], keep[keep]
     return out
 
 
+def prefix_blocks(runs: list[np.ndarray], pages: np.ndarray, least: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """As repeated_blocks, for blocks of two lines and more that begin where a run of lines begins: (runs, distinct pages, is maximal).
+
+    ``pages`` and ``least`` belong to the runs. All runs that begin with a line have to be here, so that counts are final.
+    """
+    sizes = np.array([len(r) for r in runs])
+    flat, starts = np.concatenate(runs), np.cumsum(sizes) - sizes
+    codes, page_no = np.unique(flat, return_inverse=True)[1].astype(np.int64), np.unique(pages, return_inverse=True)[1]
+    live, group, depth, out = np.arange(len(runs)), codes[starts], 1, []
+    while True:
+        live, group = live[sizes[live] > depth], group[sizes[live] > depth]
+        if not len(live):
+            return out
+        both = np.stack([group, codes[starts[live] + depth]])
+        keys, first, new = np.unique(both, axis=1, return_index=True, return_inverse=True)
+        new = new.reshape(-1)
+        pairs = np.unique(np.stack([new, page_no[live]]), axis=1)
+        count = np.bincount(pairs[0], minlength=len(first))
+        enough = count >= least[live[first]]
+        if out:
+            longest = np.zeros(len(out[-1][0]), np.int64)
+            np.maximum.at(longest, keys[0][enough], count[enough])
+            out[-1] = (out[-1][0], out[-1][1], longest < out[-1][1])
+        out.append((live[first[enough]], count[enough], np.ones(int(enough.sum()), bool)))
+        number = np.cumsum(enough) - 1
+        live, group = live[enough[new]], number[new[enough[new]]]
+        depth += 1
+
+
+def _prefix_blocks(batch: pd.DataFrame) -> pd.DataFrame:
+    """Blocks of one bucket of runs of frequent lines; a site's runs with one first line are in one bucket."""
+    runs, sites = list(batch["run"]), batch["site_id"].to_numpy()
+    frames = [pd.DataFrame({"site_id": np.zeros(0, np.int64), "n_lines": np.zeros(0, np.int32), "block": pd.Series([], dtype=object), "n_pages": np.zeros(0, np.int64)})]
+    for depth, (first, n, maximal) in enumerate(prefix_blocks(runs, batch["page"].to_numpy(), batch["least"].to_numpy()), 2):
+        blocks = [runs[i][:depth] for i in first[maximal]]
+        frames.append(pd.DataFrame({"site_id": sites[first[maximal]], "n_lines": np.int32(depth), "block": pd.Series(blocks, dtype=object), "n_pages": n[maximal]}))
+    return pd.concat(frames)
+
+
+def _runs(ids: pd.Series, found: pd.Series) -> pd.Series:
+    """For each page the runs of at least two frequent lines from each start to the run's end."""
+    out = []
+    for lines, good in zip(ids, found, strict=True):
+        ok = np.concatenate([np.isin(lines, good), [False]])
+        end = np.flatnonzero(~ok)
+        at = np.flatnonzero(ok)
+        out.append([lines[a:b] for a, b in zip(at, end[np.searchsorted(end, at)], strict=True) if b - a > 1])
+    return pd.Series(out)
+
+
 def _site_blocks(batch: pd.DataFrame) -> pd.DataFrame:
-    """Blocks of one bucket of whole sites and shards of large sites."""
+    """Blocks of one bucket of whole sites, and lines of one bucket of shards of large sites."""
     ids = batch["ids"].to_numpy()
     sizes = np.array([len(x) for x in ids])
     if not sizes.sum():
@@ -119,8 +172,11 @@ def _site_blocks(batch: pd.DataFrame) -> pd.DataFrame:
     least = np.maximum(LEAST_PAGES, -(-batch["local_pages"].to_numpy() // SHARE))[doc]
     frames = []
     for depth, (first, n, maximal) in enumerate(repeated_blocks(symbols, pages, least), 1):
-        # a whole site's lines can be judged here; a shard's lines all leave, to be added up
-        use = (~batch["whole"].to_numpy()[doc[first]] | (n >= least[first])) if depth == 1 else maximal
+        # a whole site's blocks can be judged here; a shard's lines all leave, to be added up
+        whole = batch["whole"].to_numpy()[doc[first]]
+        use = (~whole | (n >= least[first])) if depth == 1 else maximal & whole
+        if not use.any():
+            continue
         blocks = known[symbols[first[use][:, None] + np.arange(depth)[None, :]]]
         frames.append(pd.DataFrame({"site_id": sites[first[use]], "n_lines": np.int32(depth), "block": pd.Series(list(blocks), dtype=object), "n_pages": n[use]}))
     return pd.concat(frames)
@@ -131,8 +187,9 @@ def site_blocks(pages: DataFrame) -> DataFrame:
 
     Each site's pages are concatenated and suffix-sorted; sites of more than SHARD_PAGES pages are cut into shards by
     page. Common prefixes of the sorted suffixes give the blocks, one line long or more. Pages are never cut, so a
-    line's pages add up over the shards and counts of one-line blocks are exact. Longer blocks of a sharded site are
-    counted where they are frequent in a shard, a lower bound.
+    line's pages add up over the shards and counts of one-line blocks are exact. Longer blocks of a sharded site consist
+    of its frequent lines: the suffixes of its runs of such lines are brought together by their first line, so every
+    block is counted, and found maximal, over the whole site. Blocks have any length.
     """
     lines = page_lines(pages)
     site_id, page = F.xxhash64("site"), F.xxhash64("page")
@@ -150,12 +207,21 @@ def site_blocks(pages: DataFrame) -> DataFrame:
     )
     found = placed.select("bucket", "site_id", "page", "ids", "local_pages", "whole").groupBy("bucket").applyInPandas(_site_blocks, "site_id long, n_lines int, block array<long>, n_pages long")
     summed = found.groupBy("site_id", "n_lines", "block").agg(F.sum("n_pages").alias("n_pages"))
-    return summed.join(sites.select("site_id", "site_pages"), "site_id").where(f"n_pages >= {LEAST_PAGES} and n_pages * {SHARE} >= site_pages")
+    judged = summed.join(sites, "site_id").where(f"n_pages >= {LEAST_PAGES} and n_pages * {SHARE} >= site_pages")
+    short = judged.select("site_id", "n_lines", "block", "n_pages", "site_pages")
+    good = judged.where("shards > 1 and n_lines = 1").groupBy("site_id", "site_pages", "shards").agg(F.collect_set(F.col("block")[0]).alias("found"))
+    suffixes = F.pandas_udf(_runs, "array<array<long>>")
+    runs = rows.join(F.broadcast(good), "site_id").select("site_id", "page", "site_pages", "shards", F.explode(suffixes("ids", "found")).alias("run")).distinct()
+    least = F.greatest(F.lit(LEAST_PAGES).cast("long"), F.expr(f"(site_pages + {SHARE - 1}) div {SHARE}"))
+    first_lines = runs.crossJoin(F.broadcast(total)).select(F.pmod(F.hash("site_id", F.col("run")[0]), "buckets").alias("bucket"), "site_id", "page", least.alias("least"), "run")
+    deep = first_lines.groupBy("bucket").applyInPandas(_prefix_blocks, "site_id long, n_lines int, block array<long>, n_pages long")
+    return short.unionByName(deep.join(sites.select("site_id", "site_pages"), "site_id"))
 
 
 def frequent_line_ids(pages: DataFrame) -> DataFrame:
     """``site_id, found``: ids of the lines in frequent blocks; at most SHARE times a page's lines per site."""
-    lines = site_blocks(pages).select("site_id", F.explode("block").alias("line_id"))
+    # each line of a frequent block is a frequent block of its own
+    lines = site_blocks(pages).where("n_lines = 1").select("site_id", F.explode("block").alias("line_id"))
     return lines.groupBy("site_id").agg(F.collect_set("line_id").alias("found"))
 
 

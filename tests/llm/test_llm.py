@@ -140,6 +140,34 @@ def test_blocks(spark):
     assert Counter((r.n_lines, r.n_pages) for r in got) == Counter({(1, 6): 3, (2, 6): 1, (3, 6): 1})
 
 
+@pytest.mark.parametrize("shard", [1500, 11])
+def test_blocks_against_counting(spark, monkeypatch, shard):
+    """Blocks spread thinly over shards, blocks with equal extensions in some shards only, and one of more than 64 lines."""
+    monkeypatch.setattr(lines, "SHARD_PAGES", shard)
+    rng = np.random.default_rng(6)
+    rows = []
+    for i in range(80):
+        body = [f"own {'x' * i}"] + (["head", "menu", "left" if i % 3 else "right"] if i % 4 == 0 else ["menu"])
+        body += list(rng.choice(["red", "green", "blue"], 4)) + ([f"long {'y' * k}" for k in range(70)] if i % 13 == 0 else [])
+        rows.append((f"p{i}", f"http://a.org/{i}", "\n".join(body)))
+    rows += [("p1", "http://a.org/1", "head\nmenu\nhead\nmenu"), ("p2", "http://b.org/1", "head\nmenu")]
+    pages = spark.createDataFrame(rows, "page_id string, url string, content string")
+    on = defaultdict(set)
+    for _, u, c in rows:
+        body = c.split("\n")
+        if "a.org" in u:
+            for a in range(len(body)):
+                for b in range(a + 1, len(body) + 1):
+                    on[tuple(body[a:b])].add(u)
+    frequent = {k: len(v) for k, v in on.items() if len(v) >= 3 and len(v) * 20 >= 80}
+    longest = Counter()
+    for k, n in frequent.items():
+        longest[k[:-1]] = max(longest[k[:-1]], n)
+    want = Counter((len(k), n) for k, n in frequent.items() if len(k) == 1 or longest[k] < n)
+    got = Counter((r.n_lines, r.n_pages) for r in lines.site_blocks(pages).collect())
+    assert max(k for k, _ in want) >= 70 and got == want
+
+
 # ---- terms ----
 
 
