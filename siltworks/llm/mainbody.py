@@ -114,7 +114,7 @@ class Page:
     def features(self, i: int) -> list[int]:
         s = self.lines[i]
         body = _BULLET.sub("", s)
-        words = ["0" if w.isdigit() else w for w in _WORD.findall(body.lower())][:60]
+        words = ["0" if w.isdigit() else w for w in _WORD.findall(body.lower())]
         n = len(words)
         mark = s[: len(s) - len(body)].strip()[:1]
         near = lambda j: "edge" if not 0 <= j < len(self.lines) else "recurs" if self.recurs[j] else "prose" if self.prose[j] else "title" if self.titles[j] else "other"

@@ -234,6 +234,19 @@ def test_minimum_cut_is_minimal():
         assert cost(mainbody.minimum_cut(odds, edges)) == pytest.approx(min(cost(y) for y in itertools.product((0, 1), repeat=n)))
 
 
+def test_features_of_whole_lines():
+    """What stands behind the 60th token of a line counts: its words, pairs, the line's end and its length."""
+    feats = lambda s: set(mainbody.Page(s, None, None, set()).features(0))
+    code = lambda f: mainbody.crc32(f.encode()) & ((1 << mainbody.BITS) - 1)
+    base = "Plain " + "word " * 100
+    assert {code("wlate"), code("gword late"), code("zlate end")} <= feats(base + "late end")
+    assert code("wlate") not in feats(base + "end") and code("n20") in feats("word " * 100)
+    weights = np.zeros(1 << mainbody.BITS)
+    weights[code("wlate")] = -3
+    weights[code("wplain")] = 1
+    assert [mainbody.label_lines(mainbody.Page(base + x, None, None, set()), weights)[0] for x in ("late end", "end")] == [mainbody.FURNITURE, mainbody.MAIN]
+
+
 def test_pages_edge_cases(spark):
     rows = [("A ", "http://a.org/1", None, "", "x"), ("b", None, "T", "\r\n \n", "x"), ("b", None, "T", "One line of text only", "x"), (None, "http://a.org/2", "T", None, "x"), ("c", "http://a.org/3", "T", "word " * 20000, "x"), ("c", "http://a.org/3", "T", "word " * 20000, "x")]
     pages = spark.createDataFrame(rows, "page_id string, url string, title string, content string, recurring string")
