@@ -394,7 +394,7 @@ def crawl_bfs(s, d):
 def crawl_dedup(s, d):
     web = _current(s, d).select(F.col("url").alias("norm"), "title", "content", "links")
     nothing = web.limit(0)
-    got = crawl.crawl(table(s, d, "pending"), web, _robots(s, d, "intended"), nothing, nothing.select(F.col("title").alias("fingerprint")))
+    got = crawl.crawl(table(s, d, "pending"), web, _robots(s, d, "intended"), nothing, nothing.select(F.col("title").alias("fingerprint")), limit=2**31 - 1)
     return crawl.crawl_stats(got)
 
 

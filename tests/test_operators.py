@@ -181,3 +181,17 @@ def test_incremental_index(spark, tmp_path):
     files()
     df = {r.term: r.df for r in index.document_frequencies(spark.read.parquet(str(tmp_path / "i/postings"))).collect()}
     assert df["bird"] == 2 and df["cat"] == 1 and "again" not in df
+
+
+def test_crawl_dedup_goes_beyond_the_page_limit(spark, tmp_path):
+    from siltworks.plans.reference import crawl_dedup
+
+    n = crawl.LIMIT + 20
+    i = F.col("id").cast("string")
+    pages = spark.range(n).select(
+        F.col("id").alias("page_id"), F.concat(F.lit("https://a.org/p"), i).alias("url"), F.concat(F.lit("T"), i).alias("title"), F.concat(F.lit("text "), i).alias("content"),
+        F.array().cast("array<string>").alias("links"), F.lit(None).cast("double").alias("page_rank"), F.lit("2024-01-01").alias("stored_at"), F.lit("2024-01-01").alias("crawled_at"),
+    )
+    pages.write.parquet(f"{tmp_path}/visited_pages.parquet")
+    pages.select("url").write.parquet(f"{tmp_path}/pending.parquet")
+    assert crawl_dedup(spark, str(tmp_path)).first().pages == n
