@@ -17,6 +17,8 @@ from siltworks.llm.tokens import TOKENIZER, token_counts
 from siltworks.session import ensure_checkpoint_dir
 
 BUCKETS = 128
+#: Distinct pack names at most: the pack's number has ten bits of a sort key.
+PACKS = 1024
 SHARDS = 64
 RANK_BITS = 40
 
@@ -105,14 +107,15 @@ def pack_documents(documents: DataFrame, pack_sizes: DataFrame, path: str = TOKE
     Every document with at least one token is placed once in each pack; only documents longer than the capacity are
     split, into pieces of the full capacity and a rest. Null and empty texts have no tokens and are left out; repeated
     rows are placed as rows of their own; packs of a null or non-positive capacity, or of a repeated name, are
-    ignored but for the name's first; empty tables give no rows.
+    ignored but for the name's first; more than PACKS names raise a ValueError; empty tables give no rows.
     """
     spark = documents.sparkSession
     ensure_checkpoint_dir(spark)
     sizes = token_counts(documents, path).where("n_tokens > 0").checkpoint()
-    packs = {}
-    for name, capacity in pack_sizes.select("pack_name", F.col("capacity").cast("int")).where("capacity > 0 and pack_name is not null").orderBy("pack_name", "capacity").limit(1000).collect():
-        packs.setdefault(name, capacity)
+    usable = pack_sizes.select("pack_name", F.col("capacity").cast("int")).where("capacity > 0 and pack_name is not null")
+    packs = dict(sorted(map(tuple, usable.groupBy("pack_name").agg(F.min("capacity")).limit(PACKS + 1).collect())))
+    if len(packs) > PACKS:
+        raise ValueError(f"more than {PACKS} pack names")
     names = list(packs)
     if not names:
         return sizes.limit(0).selectExpr("string(null) pack_name", "0 capacity", "doc_id", "0 piece", "0L token_start", "0 n_tokens", "0L container_id", "0 place")

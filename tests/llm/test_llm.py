@@ -79,6 +79,14 @@ def test_packing(spark):
     assert packing.pack_documents(docs, packs.limit(0)).count() == 0
 
 
+def test_repeated_pack_rows_push_no_pack_out(spark):
+    docs = spark.createDataFrame([(1, "some words")], "doc_id long, text string")
+    packs = spark.createDataFrame([("a", 16)] * 1200 + [("b", 64), ("b", 32)], "pack_name string, capacity int")
+    assert {(r.pack_name, r.capacity) for r in packing.pack_documents(docs, packs, buckets=8, shards=4).collect()} == {("a", 16), ("b", 32)}
+    with pytest.raises(ValueError):
+        packing.pack_documents(docs, spark.range(packing.PACKS + 1).selectExpr("string(id) pack_name", "16 capacity"))
+
+
 # ---- lines ----
 
 
