@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 SHARE = 0.008
 GROUPS = 1024
+#: A side of a join is broadcast up to this measured size.
+BROADCAST_BYTES = 64 << 20
 
 
 @dataclass(frozen=True)
@@ -104,6 +106,31 @@ def fragment_replicate_join(big: DataFrame, side: DataFrame, plan: Plan, key: st
     return left.join(replicate(side, plan, key), [key, "shard", *on], how).drop("shard")
 
 
+def heavy_shards(loads: DataFrame, share: float = SHARE) -> dict:
+    """Shards of the keys of ``loads(key, load)`` that hold more than ``share`` of all rows: at most 1/share keys."""
+    total = loads.agg(F.sum("load")).first()[0] or 0
+    return {k: -(-n // max(1, int(share * total))) for k, n in loads.where(F.col("load") > share * total).collect()}
+
+
+def spread_join(big: DataFrame, side: DataFrame, key: str, record: Column, shards: dict, how: str = "inner") -> DataFrame:
+    """Join on ``key``: rows of the keys in ``shards`` go to a shard by their record, the side's rows to every shard of theirs."""
+    count = lambda: F.coalesce(_lookup(shards, F.col(key), "int"), F.lit(1))
+    left = big.withColumn("__shard", F.pmod(F.xxhash64(record), count().cast("long")).cast("int") if shards else F.lit(0))
+    right = side.withColumn("__shard", F.explode(F.sequence(F.lit(0), count() - 1)) if shards else F.lit(0))
+    return left.join(right, [key, "__shard"], how).drop("__shard")
+
+
+def sized_join(big: DataFrame, side: DataFrame, key: str, record: Column, row_bytes: Column, how: str = "inner") -> DataFrame:
+    """Join on ``key`` with a side that is measured first: up to BROADCAST_BYTES it is broadcast, else heavy keys are spread.
+
+    ``row_bytes`` is the size of a row of the side apart from its key; ``side`` is read twice, so it should be written.
+    """
+    size = side.agg(F.sum(row_bytes.cast("long") + 64)).first()[0] or 0
+    if size <= BROADCAST_BYTES:
+        return big.join(F.broadcast(side), key, how)
+    return spread_join(big, side, key, record, heavy_shards(key_loads(big, key)), how)
+
+
 def balanced_counts(rows: DataFrame, plan: Plan, key: str, record: str, amount: str) -> DataFrame:
     """``key_value, pages, occurrences, n_rows`` of each key: distinct records, sum of amounts and rows.
 
