@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltworks.functions.urls import page_key, site_of
+from siltworks.operators.skew import sized_join
+from siltworks.session import ensure_checkpoint_dir
 
 LEAST_PAGES, SHARE = 3, 20
 SHARD_PAGES = 1500
@@ -135,10 +137,14 @@ def prefix_blocks(runs: list[np.ndarray], pages: np.ndarray, least: np.ndarray)
         depth += 1
 
 
+def _no_blocks() -> pd.DataFrame:
+    return pd.DataFrame({"site_id": np.zeros(0, np.int64), "n_lines": np.zeros(0, np.int32), "block": pd.Series([], dtype=object), "n_pages": np.zeros(0, np.int64)})
+
+
 def _prefix_blocks(batch: pd.DataFrame) -> pd.DataFrame:
     """Blocks of one bucket of runs of frequent lines; a site's runs with one first line are in one bucket."""
     runs, sites = list(batch["run"]), batch["site_id"].to_numpy()
-    frames = [pd.DataFrame({"site_id": np.zeros(0, np.int64), "n_lines": np.zeros(0, np.int32), "block": pd.Series([], dtype=object), "n_pages": np.zeros(0, np.int64)})]
+    frames = [_no_blocks()]
     for depth, (first, n, maximal) in enumerate(prefix_blocks(runs, batch["page"].to_numpy(), batch["least"].to_numpy()), 2):
         blocks = [runs[i][:depth] for i in first[maximal]]
         frames.append(pd.DataFrame({"site_id": sites[first[maximal]], "n_lines": np.int32(depth), "block": pd.Series(blocks, dtype=object), "n_pages": n[maximal]}))
@@ -161,7 +167,7 @@ def _site_blocks(batch: pd.DataFrame) -> pd.DataFrame:
     ids = batch["ids"].to_numpy()
     sizes = np.array([len(x) for x in ids])
     if not sizes.sum():
-        return pd.DataFrame({"site_id": np.zeros(0, np.int64), "n_lines": np.zeros(0, np.int32), "block": pd.Series([], dtype=object), "n_pages": np.zeros(0, np.int64)})
+        return _no_blocks()
     lines = np.concatenate(ids)
     known, codes = np.unique(lines, return_inverse=True)
     ends = np.cumsum(sizes)
@@ -170,7 +176,7 @@ def _site_blocks(batch: pd.DataFrame) -> pd.DataFrame:
     page_no = np.unique(batch["page"].to_numpy(), return_inverse=True)[1]
     pages, sites = page_no[doc], batch["site_id"].to_numpy()[doc]
     least = np.maximum(LEAST_PAGES, -(-batch["local_pages"].to_numpy() // SHARE))[doc]
-    frames = []
+    frames = [_no_blocks()]
     for depth, (first, n, maximal) in enumerate(repeated_blocks(symbols, pages, least), 1):
         # a whole site's blocks can be judged here; a shard's lines all leave, to be added up
         whole = batch["whole"].to_numpy()[doc[first]]
@@ -182,47 +188,66 @@ def _site_blocks(batch: pd.DataFrame) -> pd.DataFrame:
     return pd.concat(frames)
 
 
-def site_blocks(pages: DataFrame) -> DataFrame:
-    """``site_id, n_lines, block, n_pages, site_pages``: repeated blocks of line ids per site.
-
-    Each site's pages are concatenated and suffix-sorted; sites of more than SHARD_PAGES pages are cut into shards by
-    page. Common prefixes of the sorted suffixes give the blocks, one line long or more. Pages are never cut, so a
-    line's pages add up over the shards and counts of one-line blocks are exact. Longer blocks of a sharded site consist
-    of its frequent lines: the suffixes of its runs of such lines are brought together by their first line, so every
-    block is counted, and found maximal, over the whole site. Blocks have any length.
-    """
-    lines = page_lines(pages)
-    site_id, page = F.xxhash64("site"), F.xxhash64("page")
+def _rows(pages: DataFrame) -> DataFrame:
+    """``site, site_id, page, ids`` of each row: hashes of its non-empty lines."""
     ids = F.transform(F.filter("forms", lambda x: x != ""), lambda x: F.xxhash64(F.col("site"), x))
-    rows = lines.select(site_id.alias("site_id"), page.alias("page"), ids.alias("ids"))
-    sites = rows.groupBy("site_id").agg(F.count_distinct("page").alias("site_pages")).withColumn("shards", F.expr(f"int((site_pages + {SHARD_PAGES - 1}) div {SHARD_PAGES})"))
-    total = sites.agg(F.greatest(F.lit(1), F.expr(f"int(sum(site_pages) div {SHARD_PAGES})")).alias("buckets"))
+    return page_lines(pages).select("site", F.xxhash64("site").alias("site_id"), F.xxhash64("page").alias("page"), ids.alias("ids"))
+
+
+def _judged(rows: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """Frequent blocks of whole sites and frequent lines of sharded ones, the sizes of the sites (written), and the number of buckets."""
+    ensure_checkpoint_dir(rows.sparkSession)
+    sizes = rows.groupBy("site", "site_id").agg(F.count_distinct("page").alias("site_pages"))
+    sites = sizes.withColumn("shards", F.expr(f"int((site_pages + {SHARD_PAGES - 1}) div {SHARD_PAGES})")).checkpoint()
+    buckets = max(1, (sites.agg(F.sum("site_pages")).first()[0] or 0) // SHARD_PAGES)
+    small = sites.drop("site")
     placed = (
-        rows.join(sites, "site_id")
-        .crossJoin(F.broadcast(total))
+        sized_join(rows.drop("site"), small, "site_id", F.col("page"), F.lit(24))
         .withColumn("shard", F.pmod("page", F.col("shards").cast("long")))
-        .withColumn("bucket", F.pmod(F.hash("site_id", "shard"), "buckets"))
+        .withColumn("bucket", F.pmod(F.hash("site_id", "shard"), F.lit(buckets)))
         .withColumn("local_pages", F.expr("site_pages div shards"))
         .withColumn("whole", F.col("shards") == 1)
     )
     found = placed.select("bucket", "site_id", "page", "ids", "local_pages", "whole").groupBy("bucket").applyInPandas(_site_blocks, "site_id long, n_lines int, block array<long>, n_pages long")
+    # the lines of shards are combined before they meet their site's size
     summed = found.groupBy("site_id", "n_lines", "block").agg(F.sum("n_pages").alias("n_pages"))
-    judged = summed.join(sites, "site_id").where(f"n_pages >= {LEAST_PAGES} and n_pages * {SHARE} >= site_pages")
-    short = judged.select("site_id", "n_lines", "block", "n_pages", "site_pages")
+    judged = sized_join(summed, sites, "site_id", F.hash("block"), F.length("site") + 24)
+    return judged.where(f"n_pages >= {LEAST_PAGES} and n_pages * {SHARE} >= site_pages"), sites, buckets
+
+
+def site_blocks(pages: DataFrame) -> DataFrame:
+    """``site, site_id, n_lines, block, n_pages, site_pages``: repeated blocks of line ids per site.
+
+    Each site's pages are concatenated and suffix-sorted; sites of more than SHARD_PAGES pages are cut into shards by
+    page. Common prefixes of the sorted suffixes give the blocks, one line long or more. Pages are never cut, so a
+    line's pages add up over the shards and counts of one-line blocks are exact. Longer blocks of a sharded site consist
+    of its frequent lines: the suffixes of its runs of such lines are brought together by their first line, so every
+    block is counted, and found maximal, over the whole site. Blocks have any length.
+    """
+    rows = _rows(pages)
+    judged, sites, buckets = _judged(rows)
+    judged = judged.checkpoint()
+    columns = ["site", "site_id", "n_lines", "block", "n_pages", "site_pages"]
     good = judged.where("shards > 1 and n_lines = 1").groupBy("site_id", "site_pages", "shards").agg(F.collect_set(F.col("block")[0]).alias("found"))
     suffixes = F.pandas_udf(_runs, "array<array<long>>")
+    # sites of many pages only, each with at most SHARE times a page's lines
     runs = rows.join(F.broadcast(good), "site_id").select("site_id", "page", "site_pages", "shards", F.explode(suffixes("ids", "found")).alias("run")).distinct()
     least = F.greatest(F.lit(LEAST_PAGES).cast("long"), F.expr(f"(site_pages + {SHARE - 1}) div {SHARE}"))
-    first_lines = runs.crossJoin(F.broadcast(total)).select(F.pmod(F.hash("site_id", F.col("run")[0]), "buckets").alias("bucket"), "site_id", "page", least.alias("least"), "run")
+    first_lines = runs.select(F.pmod(F.hash("site_id", F.col("run")[0]), F.lit(buckets)).alias("bucket"), "site_id", "page", least.alias("least"), "run")
     deep = first_lines.groupBy("bucket").applyInPandas(_prefix_blocks, "site_id long, n_lines int, block array<long>, n_pages long")
-    return short.unionByName(deep.join(sites.select("site_id", "site_pages"), "site_id"))
+    return judged.select(*columns).unionByName(sized_join(deep, sites, "site_id", F.hash("block"), F.length("site") + 24).select(*columns))
 
 
 def frequent_line_ids(pages: DataFrame) -> DataFrame:
-    """``site_id, found``: ids of the lines in frequent blocks; at most SHARE times a page's lines per site."""
+    """``site_id, found``: ids of the lines in frequent blocks; at most SHARE times a page's lines per site. Written before it is given back."""
     # each line of a frequent block is a frequent block of its own
-    lines = site_blocks(pages).where("n_lines = 1").select("site_id", F.explode("block").alias("line_id"))
-    return lines.groupBy("site_id").agg(F.collect_set("line_id").alias("found"))
+    judged, _, _ = _judged(_rows(pages))
+    lines = judged.where("n_lines = 1").select("site_id", F.explode("block").alias("line_id"))
+    return lines.groupBy("site_id").agg(F.collect_set("line_id").alias("found")).checkpoint()
+
+
+def _with_found(rows: DataFrame, found: DataFrame, record: Column, how: str) -> DataFrame:
+    return sized_join(rows, found, "site_id", record, F.size("found") * 8, how)
 
 
 def repeated_lines(pages: DataFrame) -> DataFrame:
@@ -232,8 +257,8 @@ def repeated_lines(pages: DataFrame) -> DataFrame:
     with content, of all their rows. Null contents, urls that name no page, and empty lines take no part; repeated
     rows of a page count once; an empty table gives no rows.
     """
-    own = page_lines(pages).select(F.xxhash64("site").alias("site_id"), "site", F.array_distinct("forms").alias("forms"))
-    hits = own.join(frequent_line_ids(pages), "site_id").select(
+    own = page_lines(pages).select(F.xxhash64("site").alias("site_id"), "site", "page", F.array_distinct("forms").alias("forms"))
+    hits = _with_found(own, frequent_line_ids(pages), F.col("page"), "inner").select(
         "site", F.explode(F.filter("forms", lambda x: (x != "") & F.array_contains("found", F.xxhash64(F.col("site"), x)))).alias("line")
     )
     return hits.distinct()
@@ -242,11 +267,12 @@ def repeated_lines(pages: DataFrame) -> DataFrame:
 def without_repeated_lines(pages: DataFrame) -> DataFrame:
     """``page_id, url, kept, removed``: content without the lines of frequent blocks, and how many went.
 
-    Rows without content keep null; rows whose url names no page keep all lines. Blank lines stay.
+    Every line of a frequent block is frequent by itself, so blocks go line by line. Rows without content keep null;
+    rows whose url names no page keep all lines. Blank lines stay.
     """
     site = site_of(page_key(pages["url"]))
     rows = pages.select("page_id", "url", "content", site.alias("site"), F.xxhash64(site).alias("site_id"))
-    joined = rows.join(frequent_line_ids(pages), "site_id", "left")
+    joined = _with_found(rows, frequent_line_ids(pages), F.xxhash64("url", "page_id"), "left")
     bad = lambda x: F.coalesce((line_form(x) != "") & F.array_contains("found", F.xxhash64(F.col("site"), line_form(x))), F.lit(False))
     raw = F.split("content", "\n")
     kept = F.filter(raw, lambda x: ~bad(x))

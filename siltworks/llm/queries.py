@@ -54,7 +54,7 @@ def p3_cleaned(spark: SparkSession, d: str) -> DataFrame:
 
 def p3_blocks(spark: SparkSession, d: str) -> DataFrame:
     blocks = lines.site_blocks(table(spark, d, "visited_pages"))
-    return blocks.where("n_lines > 1").groupBy("site_id", "n_lines").agg(F.count("*").alias("blocks"), F.max("n_pages").alias("most_pages"))
+    return blocks.where("n_lines > 1").groupBy("site", "n_lines").agg(F.count("*").alias("blocks"), F.max("n_pages").alias("most_pages"))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -91,13 +91,26 @@ newest as (select url, term, arg_max(n, (indexed_at, n))::bigint n from rows whe
 total as (select count(distinct url) n_pages from newest),
 counts as (select term, count(*) df, sum(n)::bigint occurrences from newest group by 1)"""
 
-_LINES = r"""
-with rows as (select """ + key_sql("url") + r""" page, string_split(content, chr(10)) raw from visited_pages where content is not null),
-own as (select distinct regexp_extract(page, '^https?://([^/]*)', 1) site, page,
- regexp_replace(trim(regexp_replace(lower(l.x), '[ \t\r\x{00A0}]+', ' ', 'g'), ' '), '[0-9]+', '0', 'g') line
- from rows, unnest(raw) as l(x) where page is not null),
-pages as (select regexp_extract(page, '^https?://([^/]*)', 1) site, count(distinct page) n from rows where page is not null group by 1)
-select site, line from own join pages using (site) where line <> '' group by site, line, n having count(*) >= 3 and count(*) * 20 >= n"""
+_FORM = r"regexp_replace(trim(regexp_replace(lower({0}), '[ \t\r\x{{00A0}}]+', ' ', 'g'), ' '), '[0-9]+', '0', 'g')"
+_SITE = "regexp_extract({0}, '^https?://([^/]*)', 1)"
+_SITE_LINES = f"""
+with rows as (select {key_sql("url")} page, string_split(content, chr(10)) raw from visited_pages where content is not null),
+own as (select distinct {_SITE.format("page")} site, page, {_FORM.format("l.x")} line from rows, unnest(raw) as l(x) where page is not null),
+pages as (select {_SITE.format("page")} site, count(distinct page) n from rows where page is not null group by 1),
+found as (select site, line from own join pages using (site) where line <> '' group by site, line, n having count(*) >= 3 and count(*) * 20 >= n)"""
+_LINES = f"{_SITE_LINES} select site, line from found"
+_CLEANED = f"""{_SITE_LINES},
+per as (select site, list(line) lines from found group by 1),
+all_rows as (select page_id, url, content, string_split(content, chr(10)) raw, {_SITE.format(key_sql("url"))} site from visited_pages),
+cut as (select page_id, url, raw, content, list_filter(raw, lambda x: not coalesce(list_contains(lines, {_FORM.format("x")}), false)) kept from all_rows left join per using (site))
+select page_id, url, case when content is not null then array_to_string(kept, chr(10)) end kept, (len(raw) - len(kept))::int removed from cut"""
+_BLOCKS = f"""{_SITE_LINES},
+texts as (select {_SITE.format("page")} site, page, list_filter(list_transform(raw, lambda x: {_FORM.format("x")}), lambda x: x <> '') f from rows where page is not null),
+starts as (select site, page, f, unnest(range(1, len(f) + 1)) a from texts),
+spans as (select site, page, f[a:e] b from (select *, unnest(range(a, len(f) + 1)) e from starts)),
+frequent as (select site, b, count(distinct page) k from spans join pages using (site) group by site, b, n having k >= 3 and k * 20 >= n),
+longer as (select site, b[1:len(b) - 1] b, max(k) m from frequent where len(b) > 1 group by 1, 2)
+select site, len(frequent.b)::int n_lines, count(*) blocks, max(k) most_pages from frequent left join longer using (site, b) where len(frequent.b) > 1 and (m is null or m < k) group by 1, 2"""
 
 QUERIES = {
     "p2_found": p2_found,
@@ -120,6 +133,8 @@ QUERIES = {
 }
 SQL = {
     "p3_found": _LINES,
+    "p3_cleaned": _CLEANED,
+    "p3_blocks": _BLOCKS,
     "p4_found": f"""{_NEWEST},
 scored as (select url, term, n * ln((select n_pages from total) / (1 + df)) s from newest join counts using (term) where df >= 2),
 top as (select *, max(s) over (partition by url) m from scored)
