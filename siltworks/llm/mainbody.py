@@ -6,6 +6,7 @@ on a bounded sample of pages by weak supervision: lines that recur across their
 lists of other pages under such lines are furniture; the title, sentences and what stands between sentences are main.
 """
 
+import math
 import re
 from collections import Counter
 from zlib import crc32
@@ -13,24 +14,27 @@ from zlib import crc32
 import numpy as np
 
 BITS = 16
-PAGES = 3000
-ADJACENT, NEAR, LISTED = 0.55, 0.2, 1.6
+#: Pages without regard to reviews, drawn by the hash of their id, that the line classifier is fitted on besides the reviewed ones.
+PAGES = 2000
+#: How often one and the same recurring line teaches the classifier.
+REPEATS = 40
+ADJACENT, NEAR = 0.55, 0.2
+#: Edge between a list's heading and an entry of a short list, and the number of entries at which it has halved.
+LISTED, HALF = 1.6, 8
 MAIN, FURNITURE = 1, 0
-#: A list of other pages in a page's furniture is not longer than this; longer ones are the page's own content.
-LIST = 8
+#: Entries of a memo of features or lines; a full memo starts anew.
+MEMO = 400_000
+#: Longer lines hardly recur and are not kept in the memo of lines.
+REMEMBERED = 120
 
 _BLANKS = re.compile("[ \t\r\u00a0]+")
 _WORD = re.compile(r"[^\W\d_]+|\d+|[|·>»/#@:©?!.,]")
 _BULLET = re.compile(r"^(?:[*•»›\-–—·]|\d{1,2}[.)])\s+")
+_DIGITS = re.compile(r"\d+")
+_NUMBER = re.compile("^[0-9]+$")
 _DATE_END = re.compile(r"\s*\(\d{4}-\d\d-\d\d\)$")
 _STOP_END = re.compile(r"[.!?…][\"”»'’)]*$")
 _LABELLED = re.compile(r"^[^\W\d_]+(?: [^\W\d_]+)?\s?: (.+)$")
-#: Cues of series and editor's notes in the four languages.
-_NOTE = re.compile(
-    r"\b(?:editor['’]s note|(?:our|this) series|first (?:printed|published)|supported by|note de la rédaction|notre série|"
-    r"anm(?:erkung|\.) d(?:er|\.) red|unserer serie|nota de la redacción|nuestra serie)\b",
-    re.IGNORECASE,
-)
 _SENTENCE_BREAK = re.compile(r"[.!?][\"”»'’)]*\s+\S")
 
 
@@ -40,18 +44,10 @@ def tidy(line: str) -> str:
 
 def opening(s: str) -> tuple[str, str]:
     """First word, and second and third word, of a headline, with numbers as 0."""
-    w = ["0" if x.isdigit() else x for x in _BULLET.sub("", s).lower().split(" ")[:3]]
+    w = ["0" if _NUMBER.match(x) else x for x in _BULLET.sub("", s).lower().split(" ")[:3]]
     return w[0], " ".join(w[1:3])
 
 
-def title_openings(titles: list[str | None], least: float = 0.003) -> set[str]:
-    """How titles of the sample begin: first words and second-and-third words on at least a part ``least`` of them."""
-    pairs = [opening(tidy(t)) for t in titles if t and t.strip()]
-    first, second = Counter(a for a, _ in pairs), Counter(f"+{b}" for _, b in pairs if " " in b)
-    enough = max(3, least * len(pairs))
-    return {w for c in (first, second) for w, n in c.items() if n >= enough and w != "0"}
-
-
 def looks_like_title(s: str, openings: set[str]) -> bool:
     """A short line that begins and ends as headlines do, with or without a list mark and a date."""
     t = _DATE_END.sub("", _BULLET.sub("", s))
@@ -90,62 +86,51 @@ class Page:
         self.prose = [looks_like_prose(s) and not r for s, r in zip(self.lines, self.recurs, strict=True)]
         self.title_at = self._find_title(tidy(title or ""))
         self.last_prose = max((i for i, p in enumerate(self.prose) if p), default=-1)
+        self.kinds = ["recurs" if r else "prose" if p else "title" if t else "other" for r, p, t in zip(self.recurs, self.prose, self.titles, strict=True)]
+        self._find_runs()
 
     def _find_title(self, title: str) -> int:
         t = title.lower()
         fits = [i for i, s in enumerate(self.lines) if t and (s.lower() == t or t.startswith(s.lower() + " - "))]
         return fits[0] if fits else -1
 
-    def heading(self, i: int) -> int:
-        """The line above the unbroken run of title-shaped lines that holds line i, or -1."""
-        j = i - 1
-        while j >= 0 and self.titles[j] and j != self.title_at and not self.recurs[j]:
-            j -= 1
-        return j
-
-    def run(self, i: int) -> tuple[int, int]:
-        """First and last line of the unbroken run of title-shaped lines around line i."""
-        a = self.heading(i) + 1
-        b = i
-        while b + 1 < len(self.lines) and self.titles[b + 1] and not self.recurs[b + 1]:
-            b += 1
-        return a, b
-
-    def features(self, i: int) -> list[int]:
-        s = self.lines[i]
-        body = _BULLET.sub("", s)
-        words = ["0" if w.isdigit() else w for w in _WORD.findall(body.lower())]
-        n = len(words)
-        mark = s[: len(s) - len(body)].strip()[:1]
-        near = lambda j: "edge" if not 0 <= j < len(self.lines) else "recurs" if self.recurs[j] else "prose" if self.prose[j] else "title" if self.titles[j] else "other"
+    def _find_runs(self) -> None:
+        """``runs[i]``: first and last line of the unbroken run of title-shaped lines around line i, else i twice.
+
+        ``shares[i]`` is the run's part of all words of the page but those of recurring lines and of what stands above the title.
+        """
+        n = len(self.lines)
+        words = [0 if r or i < self.title_at else s.count(" ") + 1 for i, (s, r) in enumerate(zip(self.lines, self.recurs, strict=True))]
+        total = max(sum(words), 1)
+        self.runs, self.shares = [(i, i) for i in range(n)], [0.0] * n
+        listed = [t and not r and i != self.title_at for i, (t, r) in enumerate(zip(self.titles, self.recurs, strict=True))]
+        a = 0
+        while a < n:
+            if not listed[a]:
+                a += 1
+                continue
+            b = a
+            while b + 1 < n and listed[b + 1]:
+                b += 1
+            self.runs[a : b + 1] = [(a, b)] * (b - a + 1)
+            self.shares[a : b + 1] = [sum(words[a : b + 1]) / total] * (b - a + 1)
+            a = b + 1
+
+    def kind(self, i: int) -> str:
+        return self.kinds[i] if 0 <= i < len(self.kinds) else "edge"
+
+    def setting(self, i: int) -> tuple:
+        """What surrounds line i, as far as features use it."""
         place = "own" if i == self.title_at else "above" if i < self.title_at else "inside" if i < self.last_prose else "below"
-        a, b = self.run(i) if self.titles[i] and i != self.title_at else (i, i)
-        out = [
-            f"n{min(n, 12) if n < 12 else 12 + n // 12}",
-            f"m{'0' if mark.isdigit() else mark}{body[:1].isupper()}{body[:1].islower()}",
-            f"e{s[-1:] if not s[-1:].isalnum() else 'a'}",
-            f"p{place}",
-            f"p{place}t{self.titles[i]}",
-            f"r{self.recurs[i]}",
-            f"s{bool(_SENTENCE_BREAK.search(s))}{self.prose[i]}",
-            f"u{s.isupper()}",
-            f"k{is_tag_line(s)}",
-            f"b{near(i - 1)}t{self.titles[i]}",
-            f"a{near(i + 1)}t{self.titles[i]}",
-            f"l{min(b - a, LIST)}{near(a - 1) if self.titles[i] else ''}{near(b + 1) if self.titles[i] else ''}{bool(mark)}",
-            f"l{min(b - a, LIST)}{place}{bool(mark)}",
-        ]
-        out += [f"w{w}" for w in set(words)]
-        out += [f"g{v} {w}" for v, w in set(zip(words, words[1:], strict=False))]
-        out += [f"f{' '.join(words[:2])}", f"z{' '.join(words[-2:])}"]
-        if n <= 8:
-            out.append(f"x{' '.join(words)}")
-        return [crc32(f.encode()) & ((1 << BITS) - 1) for f in out]
+        a, b = self.runs[i]
+        around = (self.kind(a - 1), self.kind(b + 1)) if self.titles[i] else ("", "")
+        return place, self.titles[i], self.recurs[i], self.prose[i], self.kind(i - 1), self.kind(i + 1), int(math.log2(b - a + 1)), int(4 * self.shares[i]), *around
 
     def weak_labels(self, forms: set[str], spam: bool = False) -> list[int]:
         """1 main, 0 furniture, -1 unknown; ``forms`` are masked lines that recur on several sites.
 
-        ``spam`` pages have reviews as such: what stands under their title is filler, which is no furniture either.
+        ``spam`` pages have reviews as such: what stands under their title is filler, which is no furniture either. A
+        list of most of a page's words is furniture on no page that is only text, and stays unknown without a review.
         """
         out = []
         for i, s in enumerate(self.lines):
@@ -154,17 +139,15 @@ class Page:
                 y = MAIN
             if is_tag_line(s) and not spam and i > self.last_prose:
                 y = FURNITURE
-            if _NOTE.search(s) and s.count(" ") < 16:
-                y = FURNITURE
-            if i < self.title_at or self.recurs[i] and i != self.title_at or mask(s) in forms and s.count(" ") < 24:
+            if i < self.title_at or i != self.title_at and (self.recurs[i] or mask(s) in forms):
                 y = FURNITURE
-            elif spam and y < 0 and (not self.titles[i] or self.run(i)[1] - self.run(i)[0] >= LIST):
+            elif spam and y < 0 and (not self.titles[i] or self.shares[i] > 0.5):
                 y = MAIN
             elif y < 0 and self.titles[i]:
-                a, b = self.run(i)
+                a, b = self.runs[i]
                 before = self.recurs[a - 1] if a > 0 and a - 1 != self.title_at else False
                 after = b + 1 >= len(self.lines) or self.recurs[b + 1]
-                if before and (b > a or after) and b - a < LIST:
+                if before and (b > a or after) and self.shares[i] <= 0.5:
                     y = FURNITURE
                 elif a == b and 0 < a and self.prose[a - 1] and b + 1 < len(self.lines) and self.prose[b + 1]:
                     y = MAIN
@@ -174,55 +157,139 @@ class Page:
         return out
 
 
+def words_and_shape(s: str) -> tuple[list[str], list[str]]:
+    """The words of a line, numbers as 0, and the features of the line by itself that are no single words or pairs."""
+    body = _BULLET.sub("", s)
+    words = _WORD.findall(_DIGITS.sub("0", body.lower()))
+    n = len(words)
+    mark = s[: len(s) - len(body)].strip()[:1]
+    shape = [
+        f"n{min(n, 12) if n < 12 else 12 + n // 12}",
+        f"m{'0' if mark.isdigit() else mark}{body[:1].isupper()}{body[:1].islower()}",
+        f"e{s[-1:] if not s[-1:].isalnum() else 'a'}",
+        f"u{s.isupper()}",
+        f"k{is_tag_line(s)}",
+        f"s{bool(_SENTENCE_BREAK.search(s))}",
+        f"f{' '.join(words[:2])}",
+        f"z{' '.join(words[-2:])}",
+    ]
+    if n <= 8:
+        shape.append(f"x{' '.join(words)}")
+    return words, shape
+
+
+def wording(s: str) -> list[str]:
+    """Features of a line by itself, from the whole line."""
+    words, shape = words_and_shape(s)
+    return shape + ["w" + w for w in dict.fromkeys(words)] + [f"g{v} {w}" for v, w in dict.fromkeys(zip(words, words[1:], strict=False))]
+
+
+def surroundings(setting: tuple, marked: bool) -> list[str]:
+    """Features of a line's place on its page."""
+    place, titled, recurs, prose, above, below, size, share, before, after = setting
+    return [
+        f"p{place}",
+        f"p{place}t{titled}",
+        f"r{recurs}",
+        f"q{prose}",
+        f"b{above}t{titled}",
+        f"a{below}t{titled}",
+        f"l{size}{before}{after}{marked}",
+        f"l{size}{place}{marked}",
+        f"h{share}{before}",
+        f"h{share}{place}{marked}",
+    ]
+
+
+def bucket(feature: str) -> int:
+    return crc32(feature.encode()) & ((1 << BITS) - 1)
+
+
+class Memo(dict):
+    """Values of a function of one argument; starts anew when full."""
+
+    def __init__(self, of):
+        super().__init__()
+        self.of = of
+
+    def __missing__(self, k):
+        if len(self) >= MEMO:
+            self.clear()
+        v = self[k] = self.of(k)
+        return v
+
+
+class Classifier:
+    """Log odds of main text from the weights of hashed features."""
+
+    def __init__(self, weights: np.ndarray):
+        self.weights = weights
+        self._reset()
+
+    def _reset(self) -> None:
+        weight = lambda f: float(self.weights[bucket(f)])
+        self.feature = Memo(weight)
+        self.word = Memo(lambda w: weight("w" + w))
+        self.pair = Memo(lambda p: weight(f"g{p[0]} {p[1]}"))
+        self.line = Memo(self._line)
+        self.place = Memo(lambda k: sum([self.feature[f] for f in surroundings(*k)]))
+
+    def _line(self, s: str) -> float:
+        words, shape = words_and_shape(s)
+        pairs = dict.fromkeys(zip(words, words[1:], strict=False))
+        return sum(map(self.feature.__getitem__, shape)) + sum(map(self.word.__getitem__, dict.fromkeys(words))) + sum(map(self.pair.__getitem__, pairs))
+
+    def __getstate__(self):
+        return self.weights
+
+    def __setstate__(self, weights):
+        self.weights = weights
+        self._reset()
+
+    def odds(self, page: Page) -> np.ndarray:
+        line = lambda s: self.line[s] if len(s) < REMEMBERED else self._line(s)
+        out = [line(s) + self.place[page.setting(i), bool(_BULLET.match(s))] for i, s in enumerate(page.lines)]
+        return np.clip(np.array(out, float), -8, 8)
+
+
 def mask(s: str) -> str:
     """A line with numbers, addresses and capitalised words blanked out."""
     s = re.sub(r"\S+@\S+|https?://\S+", "@", s)
     return re.sub(r"\d+", "0", re.sub(r"\b[^\W\d_a-zß-ÿ]\w*(?: [^\W\d_a-zß-ÿ]\w*)*", "X", s[:1].lower() + s[1:]))
 
 
-def common_forms(pages: list["Page"], sites: list[str], least: int = 4) -> set[str]:
-    """Masked forms of recurring lines, on at least ``least`` sites and mostly recurring wherever they stand."""
-    recurring, anywhere = {}, {}
-    for p, site in zip(pages, sites, strict=True):
-        for s, r in zip(p.lines, p.recurs, strict=True):
-            m = mask(s)
-            anywhere.setdefault(m, set()).add(site)
-            if r:
-                recurring.setdefault(m, set()).add(site)
-    return {m for m, found in recurring.items() if len(found) >= least and 3 * len(found) >= len(anywhere[m]) and m.strip(" X.|")}
-
-
-def train(pages: list["Page"], sites: list[str], spam: list[bool], epochs: int = 4, seed: int = 5) -> np.ndarray:
-    """Weights of the hashed features; log odds of main text. Without pages all weights are 0."""
-    forms = common_forms(pages, sites)
+def train(pages: list[Page], spam: list[bool], forms: set[str], epochs: int = 4, seed: int = 5) -> Classifier:
+    """Classifier fitted to weak labels by adaptive gradient steps. Without pages all weights are 0."""
+    code = Memo(bucket)
     rows, labels, seen = [], [], Counter()
     for p, filler in zip(pages, spam, strict=True):
         for i, y in enumerate(p.weak_labels(forms, filler)):
-            if y >= 0 and (p.recurs[i] is False or seen[p.lines[i]] < 40):
-                seen[p.lines[i]] += 1
-                rows.append(np.unique(np.array(p.features(i), np.int32)))
+            s = p.lines[i]
+            if y >= 0 and (not p.recurs[i] or seen[s] < REPEATS):
+                seen[s] += 1
+                rows.append(np.array([code[f] for f in wording(s) + surroundings(p.setting(i), bool(_BULLET.match(s)))], np.int32))
                 labels.append(y)
     w, scale = np.zeros(1 << BITS), np.full(1 << BITS, 1e-6)
     if not rows:
-        return w
-    y, ends = np.array(labels, float), np.cumsum([len(r) for r in rows])
-    flat, starts = np.concatenate(rows), np.concatenate([[0], ends[:-1]])
+        return Classifier(w)
+    y, size = np.array(labels, float), np.array([len(r) for r in rows])
+    flat, starts = np.concatenate(rows), np.cumsum(size) - size
     rng = np.random.default_rng(seed)
     # whether a line recurs is how it got its label: hidden half of the time, so that the words must do
-    hide = crc32(b"rTrue") & ((1 << BITS) - 1)
+    hide = bucket("rTrue")
     for _ in range(epochs):
         order = rng.permutation(len(y))
-        for k in range(0, len(y), 64):
-            r = order[k : k + 64]
-            size = ends[r] - starts[r]
-            at = np.repeat(starts[r] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
-            f, who = flat[at], np.repeat(np.arange(len(r)), size)
+        for k in range(0, len(y), 256):
+            r = order[k : k + 256]
+            who = np.repeat(np.arange(len(r)), size[r])
+            f = flat[np.repeat(starts[r] - np.cumsum(size[r]) + size[r], size[r]) + np.arange(len(who))]
             x = np.where((f == hide) & (rng.random(len(f)) < 0.5), 0.0, 1.0)
             z = np.bincount(who, w[f] * x, minlength=len(r))
             g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[r])[who] * x + 1e-4 * w[f]
-            np.add.at(scale, f, g * g)
-            np.subtract.at(w, f, 0.25 * g / np.sqrt(scale[f]))
-    return w
+            at, back = np.unique(f, return_inverse=True)
+            scale[at] += np.bincount(back, g * g)
+            w[at] -= 0.25 * np.bincount(back, g) / np.sqrt(scale[at])
+    return Classifier(w)
 
 
 def minimum_cut(odds: np.ndarray, edges: list[tuple[int, int, float]]) -> np.ndarray:
@@ -283,12 +350,12 @@ def minimum_cut(odds: np.ndarray, edges: list[tuple[int, int, float]]) -> np.nda
             cap[b][a] = cap[b].get(a, 0.0) + flow
 
 
-def label_lines(page: Page, weights: np.ndarray) -> np.ndarray:
+def label_lines(page: Page, classifier: Classifier) -> np.ndarray:
     """MAIN or FURNITURE for each non-blank line."""
     n = len(page.lines)
     if not n:
         return np.zeros(0, int)
-    odds = np.array([np.clip(weights[list(set(page.features(i)))].sum(), -8, 8) for i in range(n)])
+    odds = classifier.odds(page)
     if page.title_at >= 0:
         odds[page.title_at] = 8
         odds[: page.title_at] = np.minimum(odds[: page.title_at], -3)
@@ -298,9 +365,7 @@ def label_lines(page: Page, weights: np.ndarray) -> np.ndarray:
         edges.append((i, i + 1, ADJACENT if gap == 1 else ADJACENT / 2))
         if i + 2 < n:
             edges.append((i, i + 2, NEAR))
-    for i in range(n):
-        if page.titles[i] and i != page.title_at and not page.recurs[i]:
-            a, b = page.run(i)
-            if a > 0 and a - 1 != page.title_at and b - a < LIST and (b > a or _BULLET.match(page.lines[i])):
-                edges.append((a - 1, i, LISTED))
+        a, b = page.runs[i + 1]
+        if page.titles[i + 1] and not page.recurs[i + 1] and a > 0 and a - 1 != page.title_at and (b > a or _BULLET.match(page.lines[i + 1])):
+            edges.append((a - 1, i + 1, LISTED / (1 + ((b - a + 1) / HALF) ** 2)))
     return minimum_cut(odds, edges)

@@ -244,15 +244,31 @@ def test_minimum_cut_is_minimal():
 
 def test_features_of_whole_lines():
     """What stands behind the 60th token of a line counts: its words, pairs, the line's end and its length."""
-    feats = lambda s: set(mainbody.Page(s, None, None, set()).features(0))
-    code = lambda f: mainbody.crc32(f.encode()) & ((1 << mainbody.BITS) - 1)
     base = "Plain " + "word " * 100
-    assert {code("wlate"), code("gword late"), code("zlate end")} <= feats(base + "late end")
-    assert code("wlate") not in feats(base + "end") and code("n20") in feats("word " * 100)
+    assert {"wlate", "gword late", "zlate end"} <= set(mainbody.wording(base + "late end"))
+    assert "wlate" not in mainbody.wording(base + "end") and "n20" in mainbody.wording("word " * 100)
     weights = np.zeros(1 << mainbody.BITS)
-    weights[code("wlate")] = -3
-    weights[code("wplain")] = 1
-    assert [mainbody.label_lines(mainbody.Page(base + x, None, None, set()), weights)[0] for x in ("late end", "end")] == [mainbody.FURNITURE, mainbody.MAIN]
+    weights[mainbody.bucket("wlate")], weights[mainbody.bucket("wplain")] = -3, 1
+    label = lambda s: mainbody.label_lines(mainbody.Page(s, None, None, set()), mainbody.Classifier(weights))[0]
+    assert [label(base + x) for x in ("late end", "end")] == [mainbody.FURNITURE, mainbody.MAIN]
+
+
+def test_lists_of_any_length():
+    """A run of title-shaped lines is found once, whatever its length, with its part of the page's words."""
+    page = mainbody.Page("\n".join(["Read also:", *["The old mill"] * 5000, "Some words here"]), "Other", [True] + [False] * 5001, {"the"})
+    assert set(page.runs[1:5001]) == {(1, 5000)} and page.runs[0] == (0, 0) and page.shares[5] > 0.99
+    assert len(mainbody.label_lines(page, mainbody.Classifier(np.zeros(1 << mainbody.BITS)))) == 5002
+
+
+def test_fit_does_not_depend_on_order_of_sets():
+    pages = [([f"The {a} house stands near the {b} river." for _ in range(4)], 0) for a in "abcdefgh" for b in "klmnop"]
+    spam = [(["cheap pills #one #two cheap cheap pills"] * 3, 30)] * 6
+    one = stuffing.fit_prose(pages + spam, ["ok"] * len(pages) + ["spam"] * 6)
+    assert (one.filler_shares(spam) > 0.5).all() and (one.filler_shares(pages) <= 0.5).all()
+    assert one.filler_shares([([], 0), ([""], 3)]).tolist() == [0, 0]
+    wrong = stuffing.fit_prose(pages + spam * 2, ["ok"] * len(pages) + ["spam"] * 10 + ["ok"] * 2)
+    assert (wrong.filler_shares(spam) > 0.5).all()
+    assert stuffing.fit_prose(pages, [None] * len(pages)).filler_shares(spam).max() == 0
 
 
 def test_pages_edge_cases(spark):
@@ -266,7 +282,7 @@ def test_pages_edge_cases(spark):
 
 
 def test_filler_and_furniture_on_held_out_pages(spark):
-    """Reviewed pages not used for training: most 'spam' pages are found and hardly any 'ok' page."""
+    """Pages not used for training whose reviewers agree, two or more: 'spam' pages are found and hardly any 'ok' page."""
     d = "/root/testdata/sf0.1"
     pages, labels = spark.read.parquet(d + "/visited_pages.parquet"), spark.read.parquet(d + "/page_labels.parquet").where("label is not null")
     held = F.pmod(F.xxhash64(F.lit("h"), F.col("page_id")), F.lit(3)) == 0
@@ -274,8 +290,8 @@ def test_filler_and_furniture_on_held_out_pages(spark):
     votes = defaultdict(Counter)
     for r in labels.where(held).collect():
         votes[r.page_id.strip().lower()][r.label] += 1
-    truth = {p: v["spam"] > v["ok"] for p, v in votes.items() if v["spam"] != v["ok"] and p in got}
-    assert sum(got[p] for p, y in truth.items() if y) >= 0.7 * sum(truth.values())
+    truth = {p: v["spam"] > 0 for p, v in votes.items() if len(v) == 1 and v.total() > 1 and p in got}
+    assert sum(got[p] for p, y in truth.items() if y) >= 0.9 * sum(truth.values()) > 0
     assert sum(got[p] for p, y in truth.items() if not y) <= 0.03 * len(truth)
 
 
