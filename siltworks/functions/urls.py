@@ -40,9 +40,14 @@ def crawl_key(url: Column) -> Column:
     )
 
 
+def names_page(url: Column) -> Column:
+    """Whether a value is an absolute http(s) address; as a filter it costs less than the key and keeps it from being computed twice."""
+    return url.rlike(r"^(?i)https?://[^/?#\s]")
+
+
 def page_key(url: Column) -> Column:
     """The crawl key of an absolute http(s) address; null for every value that names no page."""
-    return F.when(url.rlike(r"^(?i)https?://[^/?#\s]"), crawl_key(url))
+    return F.when(names_page(url), crawl_key(url))
 
 
 def site_of(key: Column) -> Column:

@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltworks.functions.urls import page_key
+from siltworks.functions.urls import crawl_key, names_page
 
 
 def index_term(term: Column) -> Column:
@@ -23,12 +23,18 @@ def indexed(postings: DataFrame) -> DataFrame:
     ``url`` is the crawl key, ``at`` the microseconds of ``indexed_at`` (null counts as earliest). Other columns are
     dropped, so extra columns with clashing names do no harm.
     """
-    return postings.select(
-        index_term(postings["term"]).alias("term"),
-        page_key(postings["url"]).alias("url"),
+    usable = postings.where((F.trim(postings["term"]) != "") & names_page(postings["url"]))
+    return usable.select(
+        F.lower(F.trim(postings["term"])).alias("term"),
+        crawl_key(postings["url"]).alias("url"),
         occurrences(postings).alias("occurrences"),
         F.coalesce(F.unix_micros(postings["indexed_at"].cast("timestamp")), F.lit(0)).alias("at"),
-    ).where("term is not null and url is not null")
+    )
+
+
+def record_of(url: Column) -> list[Column]:
+    """A page's 128-bit identifier in two columns, for counting pages without moving their addresses."""
+    return [F.xxhash64(url).alias("record"), F.xxhash64(F.lit(7), url).alias("record_2")]
 
 
 def latest(postings: DataFrame) -> DataFrame:

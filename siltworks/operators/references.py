@@ -1,11 +1,11 @@
 """References to records that do not exist, no longer exist, or arrive after the reference was made.
 
-Parent keys become integers (the counter of a 24-digit object id, else a 64-bit hash), and sorted integers are
-compressed into contiguous runs. Every distinct referenced key is matched as of the preceding run start; a key beyond
-the run's end has no parent. Keys inside a run are checked exactly against the parent of that key, which also decides
-removal and late arrival. All of it happens on distinct keys with pre-aggregated times; the references themselves
-are read a second time and joined with the suspect keys only, so they are never sorted or shuffled as a whole unless
-the suspects outgrow a broadcast (AQE decides by measured size).
+Distinct keys fall into small hash buckets (neighbouring object ids into one) and become dense integers by their order
+there, parents and referenced keys alike. Sorted parent integers make contiguous runs; every referenced key is matched
+as of the run that starts at or before it. A key beyond that run's end has no parent and is an orphan at once; a key
+inside the run meets its parent there, whose times decide removal and late arrival. One sorted pass does all of it, on
+distinct keys with pre-aggregated times; the references themselves are read a second time and joined with the suspect
+keys only, broadcast after a check of their size, else with heavy keys spread over tasks.
 """
 
 from pyspark.sql import Column, DataFrame, Window
@@ -13,34 +13,35 @@ from pyspark.sql import functions as F
 
 from siltworks.functions.urls import page_key
 from siltworks.operators.postings import index_term
+from siltworks.operators.skew import sized_join
+from siltworks.session import ensure_checkpoint_dir
 
-HASH_SHIFT, DENSE_SHIFT = 44, 16
+HASH_SHIFT = 44
+PREFIX = 20
 
 
-def integer_key(key: Column) -> Column:
-    """``struct(bucket, id)``: counters of object ids are dense and make long runs, hashes make runs of one."""
-    dense = key.rlike("^[0-9a-f]{24}$")
-    number = F.when(dense, F.conv(F.substring(key, 17, 8), 16, 10).cast("long")).otherwise(F.xxhash64(key))
-    bucket = F.when(dense, F.shiftright(number, DENSE_SHIFT)).otherwise(F.shiftright(number, HASH_SHIFT))
-    return F.struct(bucket.alias("bucket"), number.alias("id"))
+def key_bucket(key: Column) -> Column:
+    """Bucket of a key: object ids that differ in their last four digits only share one."""
+    return F.shiftright(F.xxhash64(F.when(key.rlike("^[0-9a-f]{24}$"), F.substring(key, 1, PREFIX)).otherwise(key)), HASH_SHIFT)
 
 
-def contiguous_runs(keys: DataFrame) -> DataFrame:
-    """``bucket, start, end`` of the maximal runs of consecutive ids; repeated ids count once."""
-    ids = keys.select("bucket", "id").distinct()
-    w = Window.partitionBy("bucket").orderBy("id")
-    island = ids.withColumn("island", F.col("id").cast("decimal(20,0)") - F.row_number().over(w))
-    return island.groupBy("bucket", "island").agg(F.min("id").alias("start"), F.max("id").alias("end")).drop("island")
+def match_runs(asked: DataFrame, parents: DataFrame) -> DataFrame:
+    """``key, first_ref, beyond, first_stored, gone`` of every row of ``asked(key, first_ref)``.
 
-
-def beyond_runs(keys: DataFrame, runs: DataFrame) -> DataFrame:
-    """``key, outside``: whether the id of each key lies beyond the end of the run that starts at or before it."""
-    events = runs.select("bucket", F.col("start").alias("id"), F.lit(0).alias("kind"), F.lit(None).cast("string").alias("key"), "end").unionByName(
-        keys.select("bucket", "id", F.lit(1).alias("kind"), "key", F.lit(None).cast("long").alias("end"))
+    ``parents(key, first_stored, gone)`` and ``asked`` have each key once. ``beyond`` tells that the key lies beyond the
+    run of parents before it; the other columns are those of the last parent of that run up to the key.
+    """
+    both = parents.select("key", F.lit(0).alias("kind"), F.lit(None).cast("timestamp").alias("first_ref"), F.struct("first_stored", "gone").alias("parent")).unionByName(
+        asked.select("key", F.lit(1).alias("kind"), "first_ref"), allowMissingColumns=True
     )
-    w = Window.partitionBy("bucket").orderBy("id", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    seen = events.withColumn("end", F.last("end", ignorenulls=True).over(w))
-    return seen.where("kind = 1").select("key", (F.col("end").isNull() | (F.col("id") > F.col("end"))).alias("outside"))
+    w = Window.partitionBy("bucket").orderBy("key", "kind")
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    previous = F.lag("key").over(w)
+    numbered = both.withColumn("bucket", key_bucket(F.col("key"))).withColumn("step", F.when(previous == F.col("key"), 0).otherwise(1)).withColumn("id", F.sum("step").over(so_far))
+    run_end = F.last(F.when(F.col("kind") == 0, F.col("id")), ignorenulls=True).over(so_far)
+    latest = F.last("parent", ignorenulls=True).over(so_far)
+    seen = numbered.withColumn("run_end", run_end).withColumn("latest", latest).where("kind = 1")
+    return seen.select("key", "first_ref", F.coalesce(F.col("id") > F.col("run_end"), F.lit(True)).alias("beyond"), "latest.first_stored", "latest.gone")
 
 
 def suspect_keys(refs: DataFrame, parents: DataFrame, removals: DataFrame) -> DataFrame:
@@ -63,21 +64,18 @@ def suspect_keys(refs: DataFrame, parents: DataFrame, removals: DataFrame) -> Da
         .join(removals.where("key is not null").groupBy("key").agg(F.max("removed_at").alias("removed")), "key", "left")
         .select("key", "first_stored", F.coalesce(F.col("removed") > F.col("last_stored"), F.lit(False)).alias("gone"))
     )
-    number = lambda df: df.withColumn("n", integer_key(F.col("key"))).select("*", "n.bucket", "n.id").drop("n")
-    runs = contiguous_runs(number(held.select("key")))
-    placed = beyond_runs(number(asked.select("key")), runs)
-    checked = asked.join(placed, "key").join(held, "key", "left")
-    never = F.col("outside") | F.col("first_stored").isNull() | F.col("gone")
-    return checked.where(never | (F.col("first_ref") < F.col("first_stored"))).select(
-        "key", F.when(~never, F.col("first_stored")).alias("first_stored")
-    )
+    placed = match_runs(asked, held)
+    never = F.col("beyond") | F.col("gone")
+    return placed.where(never | (F.col("first_ref") < F.col("first_stored"))).select("key", F.when(~never, F.col("first_stored")).alias("first_stored"))
 
 
 def orphan_references(refs: DataFrame, parents: DataFrame, removals: DataFrame) -> DataFrame:
     """The rows of ``refs(key, at, ...)`` that are orphans; see suspect_keys for the cases. Repeated rows are kept."""
-    suspects = suspect_keys(refs, parents, removals).withColumnRenamed("key", "suspect_key")
-    hit = (refs["key"] == suspects["suspect_key"]) & (suspects["first_stored"].isNull() | (refs["at"] < suspects["first_stored"]))
-    return refs.join(suspects, hit).drop("suspect_key", "first_stored")
+    ensure_checkpoint_dir(refs.sparkSession)
+    suspects = suspect_keys(refs, parents, removals).withColumnRenamed("first_stored", "__first").checkpoint()
+    record = F.xxhash64(*refs.columns)
+    hit = sized_join(refs.where("key is not null"), suspects, "key", record, F.length("key") + 16)
+    return hit.where(F.col("__first").isNull() | (F.col("at") < F.col("__first"))).select(*refs.columns)
 
 
 def _ts(c: Column) -> Column:

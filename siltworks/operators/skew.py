@@ -83,15 +83,20 @@ def _lookup(mapping: dict, key: Column, value_type: str) -> Column:
 
 
 def with_slot(rows: DataFrame, plan: Plan, key: str, record: Column, slot: str = "slot", shard: str = "shard") -> DataFrame:
-    """Add the shard (0 for keys that aren't split) and the task's slot of each row; null keys count as light."""
-    count = _lookup(plan.shards, F.col(key), "int")
-    sharded = rows.withColumn(shard, F.coalesce(F.pmod(F.xxhash64(record), count.cast("long")).cast("int"), F.lit(0)))
-    unit = F.when(count.isNotNull(), F.concat(F.col(key), F.lit("\u0001"), F.col(shard).cast("string"))).otherwise(
-        F.concat(F.lit("\u0001"), F.pmod(F.hash(F.col(key)), F.lit(plan.groups)).cast("string"))
-    )
-    names = {f"{k}\u0001{s}": v for (k, s), v in plan.slots.items()}
+    """Add the shard (0 for keys that aren't split) and the task's slot of each row; null keys count as light.
+
+    A light key's slot is an element of an array; only split keys, at most 1/share, are looked up by value.
+    """
     some = next(iter(plan.slots.values()), 0)
-    return sharded.withColumn(slot, F.coalesce(_lookup(names, unit, "int"), F.lit(some)))
+    groups = F.array(*[F.lit(plan.slots.get(("", g), some)) for g in range(plan.groups)])
+    light = F.element_at(groups, F.pmod(F.hash(F.col(key)), F.lit(plan.groups)) + 1)
+    if not plan.shards:
+        return rows.withColumn(shard, F.lit(0)).withColumn(slot, light)
+    heavy = F.coalesce(F.col(key).isin(list(plan.shards)), F.lit(False))
+    own = {k: F.array(*[F.lit(plan.slots[k, s]) for s in range(n)]) for k, n in plan.shards.items()}
+    slots = F.element_at(F.create_map(*[x for k, v in own.items() for x in (F.lit(k), v)]), F.col(key))
+    sharded = rows.withColumn(shard, F.when(heavy, F.pmod(F.xxhash64(record), F.size(slots).cast("long")).cast("int")).otherwise(F.lit(0)))
+    return sharded.withColumn(slot, F.when(heavy, F.element_at(slots, F.col(shard) + 1)).otherwise(light))
 
 
 def replicate(side: DataFrame, plan: Plan, key: str, shard: str = "shard") -> DataFrame:
@@ -131,17 +136,17 @@ def sized_join(big: DataFrame, side: DataFrame, key: str, record: Column, row_by
     return spread_join(big, side, key, record, heavy_shards(key_loads(big, key)), how)
 
 
-def balanced_counts(rows: DataFrame, plan: Plan, key: str, record: str, amount: str) -> DataFrame:
-    """``key_value, pages, occurrences, n_rows`` of each key: distinct records, sum of amounts and rows.
+def balanced_counts(rows: DataFrame, plan: Plan, key: str, record: tuple[str, ...], amount: str, n_rows: str) -> DataFrame:
+    """``key_value, pages, occurrences, n_rows`` of each key: distinct records, sum of amounts and of row numbers.
 
-    Rows are combined per (key, record) before they move, land on their planned task by the slot's hash, and are
-    counted there; the shards of a split key meet as one partial row each. Repeated rows count in ``n_rows`` and
-    ``occurrences``, once in ``pages``; a null record counts in no page; null keys are no keys.
+    Rows move once, to their planned task by the slot's hash, and are counted per record and key there; the shards of a
+    split key meet as one partial row each. Repeated rows count in ``n_rows`` and ``occurrences``, once in ``pages``; a
+    null record counts in no page; null keys are no keys.
     """
-    placed = with_slot(rows.where(F.col(key).isNotNull()), plan, key, F.col(record))
-    per_record = placed.groupBy("slot", "shard", F.col(key).alias("key_value"), F.col(record).alias("record")).agg(F.sum(amount).alias("occurrences"), F.count("*").alias("n_rows"))
-    tasks = per_record.repartition(plan.tasks, "slot")
-    partial = tasks.groupBy("slot", "shard", "key_value").agg(F.count("record").alias("pages"), F.sum("occurrences").alias("occurrences"), F.sum("n_rows").alias("n_rows"))
+    known = F.coalesce(*[F.col(r) for r in record])
+    placed = with_slot(rows.where(F.col(key).isNotNull()), plan, key, known).repartition(plan.tasks, "slot")
+    per_record = placed.groupBy("slot", "shard", F.col(key).alias("key_value"), *record).agg(F.sum(amount).alias("occurrences"), F.sum(n_rows).alias("n_rows"))
+    partial = per_record.groupBy("slot", "shard", "key_value").agg(F.count(record[0]).alias("pages"), F.sum("occurrences").alias("occurrences"), F.sum("n_rows").alias("n_rows"))
     return partial.groupBy("key_value").agg(F.sum("pages").alias("pages"), F.sum("occurrences").alias("occurrences"), F.sum("n_rows").alias("n_rows"))
 
 
@@ -149,20 +154,25 @@ def key_report(spark: SparkSession, postings: DataFrame, tasks: int | None = Non
     """``field_name, key_value, pages, occurrences, n_rows, row_share`` of every index term and every site of postings.
 
     A page is a crawl key. ``row_share`` is the part of all rows of postings, repeated rows included. An empty table
-    gives no rows.
+    gives no rows. Sites are counted from their pages' sums, terms from the rows.
     """
     from siltworks.functions.urls import page_key, site_of
-    from siltworks.operators.postings import index_term, occurrences
+    from siltworks.operators.postings import index_term, occurrences, record_of
 
     tasks = tasks or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    url = page_key(postings["url"])
-    rows = postings.select(index_term(postings["term"]).alias("term"), url.alias("url"), site_of(url).alias("site"), occurrences(postings).alias("n"))
-    fields = F.explode(F.array(*[F.concat(F.lit(f"{f}\u0002"), F.col(f)) for f in ("term", "site")]))
-    own = rows.select(fields.alias("k"), "url", "n").where("k is not null and k <> 'site\u0002'")
-    plan = plan_tasks(spark, key_loads(own, "k"), tasks)
-    counts = balanced_counts(own, plan, "k", "url", "n")
+    rows = postings.select(index_term(postings["term"]).alias("term"), page_key(postings["url"]).alias("url"), occurrences(postings).alias("n"))
+    missing = F.col("url").isNull()
+    record = [F.when(~missing, c).alias(f"record_{i}") for i, c in enumerate(record_of(F.col("url")))]
+    named = lambda field, c: F.concat(F.lit(f"{field}\u0002"), c).alias("k")
+    terms = rows.where("term is not null").select(named("term", F.col("term")), *record, "n", F.lit(1).cast("long").alias("m"))
+    per_page = rows.groupBy("url").agg(F.sum("n").alias("n"), F.count("*").alias("m"))
+    sites = per_page.where(site_of(F.col("url")) != "").select(named("site", site_of(F.col("url"))), *record, "n", "m")
+    own = terms.unionByName(sites)
+    loads = terms.groupBy(F.col("k").alias("key")).agg(F.count("*").alias("load")).unionByName(sites.groupBy(F.col("k").alias("key")).agg(F.sum("m").alias("load")))
+    plan = plan_tasks(spark, loads, tasks)
+    counts = balanced_counts(own, plan, "k", ("record_0", "record_1"), "n", "m")
     total = postings.agg(F.count("*").alias("total"))
-    named = counts.select(
+    split = counts.select(
         F.substring_index("key_value", "\u0002", 1).alias("field_name"), F.expr("substring(key_value, 6)").alias("key_value"), "pages", "occurrences", "n_rows"
     )
-    return named.crossJoin(F.broadcast(total)).withColumn("row_share", F.col("n_rows") / F.col("total")).drop("total")
+    return split.crossJoin(F.broadcast(total)).withColumn("row_share", F.col("n_rows") / F.col("total")).drop("total")

@@ -124,14 +124,33 @@ def test_orphan_references(spark):
     assert references.orphan_references(refs.limit(0), parents, removals).count() == 0
 
 
-def test_runs(spark):
-    ids = [f"66a0000000000000{i:08x}" for i in (1, 2, 3, 7, 8, 65535, 65536)]
-    keys = spark.createDataFrame([(i,) for i in ids + ids[:2]], "key string").withColumn("n", references.integer_key(F.col("key"))).select("key", "n.bucket", "n.id")
-    runs = references.contiguous_runs(keys)
-    assert sorted((r.start, r.end) for r in runs.collect()) == [(1, 3), (7, 8), (65535, 65535), (65536, 65536)]
-    asked = spark.createDataFrame([(f"66a0000000000000{i:08x}",) for i in (0, 2, 4, 8, 9, 65536, 65537, 200000)], "key string").withColumn("n", references.integer_key(F.col("key"))).select("key", "n.bucket", "n.id")
-    got = {int(r.key[16:], 16): r.outside for r in references.beyond_runs(asked, runs).collect()}
-    assert got == {0: True, 2: False, 4: True, 8: False, 9: True, 65536: False, 65537: True, 200000: True}
+def test_runs(spark, monkeypatch):
+    """Keys beyond the run before them are orphans because of the run test alone."""
+    name = lambda i: f"66a0000000000000{i:08x}"
+    held = [name(i) for i in (1, 2, 3, 7, 8, 65535, 65536)] + ["http://a.org/b"]
+    asked = [name(i) for i in (0, 2, 4, 8, 9, 65536, 65537, 200000)] + ["http://a.org/a", "http://a.org/b", "http://a.org/c"]
+    parents = spark.createDataFrame([(k, "2024-01-01", False) for k in held], "key string, day string, gone boolean").select("key", F.col("day").cast("timestamp").alias("first_stored"), "gone")
+    refs = spark.createDataFrame([(k, "2024-02-01") for k in asked], "key string, day string").select("key", F.col("day").cast("timestamp").alias("at"))
+    got = {r.key: r.beyond for r in references.match_runs(refs.withColumnRenamed("at", "first_ref"), parents).collect()}
+    assert got == {k: k not in held for k in asked}
+    stored, none = parents.withColumnRenamed("first_stored", "stored_at"), spark.createDataFrame([], "key string, removed_at timestamp")
+    assert {r.key for r in references.suspect_keys(refs, stored, none).collect()} == set(asked) - set(held)
+    whole = references.match_runs
+    monkeypatch.setattr(references, "match_runs", lambda a, p: whole(a, p).withColumn("beyond", F.lit(False)))
+    assert {r.key for r in references.suspect_keys(refs, stored, none).collect()} < set(asked) - set(held)
+
+
+def test_joins_of_measured_size(spark, monkeypatch):
+    big = spark.createDataFrame([("hot", i) for i in range(500)] + [(f"k{i}", i) for i in range(50)] + [(None, 1)], "k string, n int")
+    side = spark.createDataFrame([("hot", 1), ("k3", 2), ("none", 3), (None, 4)], "k string, v int")
+    want = {"hot": 500, "k3": 1}
+    for limit in (1 << 20, 0):
+        monkeypatch.setattr(skew, "BROADCAST_BYTES", limit)
+        got = skew.sized_join(big, side, "k", F.col("n"), F.lit(8))
+        assert {r["k"]: r["count"] for r in got.groupBy("k").count().collect()} == want and got.columns == ["k", "n", "v"]
+        assert skew.sized_join(big, side, "k", F.col("n"), F.lit(8), "left").count() == 551
+    assert skew.heavy_shards(skew.key_loads(big, "k"))["hot"] > 50
+    assert skew.sized_join(big.limit(0), side, "k", F.col("n"), F.lit(8)).count() == 0
 
 
 def test_balanced_counts_with_a_hot_key(spark):
@@ -139,7 +158,7 @@ def test_balanced_counts_with_a_hot_key(spark):
     df = spark.createDataFrame(rows, "k string, page string, n long").withColumn("slot", F.lit("clash"))
     plan = skew.plan_tasks(spark, skew.key_loads(df, "k"), 4)
     assert plan.shards["hot"] > 4 and max(plan.load) <= 1.3 * sum(plan.load) / 4
-    got = {r.key_value: (r.pages, r.occurrences, r.n_rows) for r in skew.balanced_counts(df.drop("slot"), plan, "k", "page", "n").collect()}
+    got = {r.key_value: (r.pages, r.occurrences, r.n_rows) for r in skew.balanced_counts(df.drop("slot").withColumn("m", F.lit(1)), plan, "k", ("page",), "n", "m").collect()}
     assert got["hot"] == (900, 3000, 3000) and got["k7"] == (10, 20, 10) and got["nul"] == (0, 1, 1) and len(got) == 52
     side = spark.createDataFrame([("hot", 1), ("k7", 2), ("none", 3), (None, 4)], "k string, v int")
     joined = skew.fragment_replicate_join(df.select("k", "page"), side, plan, "k", F.col("page"))
@@ -149,7 +168,7 @@ def test_balanced_counts_with_a_hot_key(spark):
 def test_skew_of_nothing(spark):
     df = spark.createDataFrame([], "k string, page string, n long")
     plan = skew.plan_tasks(spark, skew.key_loads(df, "k"), 4)
-    assert skew.balanced_counts(df, plan, "k", "page", "n").count() == 0
+    assert skew.balanced_counts(df.withColumn("m", F.lit(1)), plan, "k", ("page",), "n", "m").count() == 0
     p = spark.createDataFrame([], "term string, url string, frequency int, positions array<int>, indexed_at timestamp")
     assert skew.key_report(spark, p).count() == 0
 
