@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # An address that is its own crawl key: lower-case host without www., no port, query, fragment, escape or empty segment.
-_PLAIN = r"^https?://(?!www\.)(?:[a-z0-9]+(?:-[a-z0-9]+)*\.)+[a-z][a-z0-9]*(?:/[A-Za-z0-9._~-]+)*$"
+_PLAIN = r"^https?+://(?!www\.)(?:[a-z0-9]++(?:-[a-z0-9]++)*+\.)++[a-z][a-z0-9]*+(?:/[A-Za-z0-9._~-]++)*+$"
 
 
 def _part(url: Column, part: str) -> Column:

@@ -157,20 +157,19 @@ def key_report(spark: SparkSession, postings: DataFrame, tasks: int | None = Non
     gives no rows. Sites are counted from their pages' sums, terms from the rows.
     """
     from siltworks.functions.urls import page_key, site_of
-    from siltworks.operators.postings import index_term, occurrences, record_of
+    from siltworks.operators.postings import index_term, occurrences, record_of, with_pages
 
     tasks = tasks or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = postings.select(index_term(postings["term"]).alias("term"), page_key(postings["url"]).alias("url"), occurrences(postings).alias("n"))
-    missing = F.col("url").isNull()
-    record = [F.when(~missing, c).alias(f"record_{i}") for i, c in enumerate(record_of(F.col("url")))]
+    own = postings.select("term", "url", "frequency", "positions")
     named = lambda field, c: F.concat(F.lit(f"{field}\u0002"), c).alias("k")
-    terms = rows.where("term is not null").select(named("term", F.col("term")), *record, "n", F.lit(1).cast("long").alias("m"))
-    per_page = rows.groupBy("url").agg(F.sum("n").alias("n"), F.count("*").alias("m"))
-    sites = per_page.where(site_of(F.col("url")) != "").select(named("site", site_of(F.col("url"))), *record, "n", "m")
-    own = terms.unionByName(sites)
-    loads = terms.groupBy(F.col("k").alias("key")).agg(F.count("*").alias("load")).unionByName(sites.groupBy(F.col("k").alias("key")).agg(F.sum("m").alias("load")))
+    rows = with_pages(own.where(F.trim("term") != ""), "left")
+    terms = rows.select(named("term", index_term(F.col("term"))), "record", "record_2", occurrences(rows).alias("n"), F.lit(1).cast("long").alias("m"))
+    per_url = own.groupBy("url").agg(F.sum(occurrences(own)).alias("n"), F.count("*").alias("m")).withColumn("page", page_key(F.col("url")))
+    sites = per_url.where(site_of(F.col("page")) != "").select(named("site", site_of(F.col("page"))), *record_of(F.col("page")), "n", "m")
+    both = terms.unionByName(sites)
+    loads = own.where(F.trim("term") != "").groupBy(named("term", index_term(F.col("term"))).alias("key")).agg(F.count("*").alias("load")).unionByName(sites.groupBy(F.col("k").alias("key")).agg(F.sum("m").alias("load")))
     plan = plan_tasks(spark, loads, tasks)
-    counts = balanced_counts(own, plan, "k", ("record_0", "record_1"), "n", "m")
+    counts = balanced_counts(both, plan, "k", ("record", "record_2"), "n", "m")
     total = postings.agg(F.count("*").alias("total"))
     split = counts.select(
         F.substring_index("key_value", "\u0002", 1).alias("field_name"), F.expr("substring(key_value, 6)").alias("key_value"), "pages", "occurrences", "n_rows"

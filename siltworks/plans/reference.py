@@ -590,4 +590,4 @@ def event_counts(s, d):
 
 @query(f"select lower(trim(term)) as term, {key_sql('url')} as url, coalesce(frequency, len(positions), 0)::bigint as occurrences from postings where nullif(lower(trim(term)), '') is not null and {key_sql('url')} is not null")
 def postings_clean(s, d):
-    return indexed(table(s, d, "postings")).drop("at")
+    return indexed(table(s, d, "postings")).select("term", "url", "occurrences")
