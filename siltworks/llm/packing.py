@@ -19,7 +19,8 @@ from siltworks.session import ensure_checkpoint_dir
 BUCKETS = 128
 #: Distinct pack names at most: the pack's number has ten bits of a sort key.
 PACKS = 1024
-SHARDS = 64
+#: Items of a common length that one task ranks; more items make more shards.
+TASK_ITEMS = 200_000
 RANK_BITS = 40
 
 
@@ -101,7 +102,7 @@ def _assignment(patterns: list[tuple[int, list[tuple[int, int]]]], pack: int, ba
     return out
 
 
-def pack_documents(documents: DataFrame, pack_sizes: DataFrame, path: str = TOKENIZER, buckets: int = BUCKETS, shards: int = SHARDS) -> DataFrame:
+def pack_documents(documents: DataFrame, pack_sizes: DataFrame, path: str = TOKENIZER, buckets: int = BUCKETS, shards: int | None = None) -> DataFrame:
     """``pack_name, capacity, doc_id, piece, token_start, n_tokens, container_id, place``.
 
     Every document with at least one token is placed once in each pack; only documents longer than the capacity are
@@ -127,6 +128,7 @@ def pack_documents(documents: DataFrame, pack_sizes: DataFrame, path: str = TOKE
         .withColumn("n_tokens", F.least(F.col("capacity"), F.col("total") - F.col("piece") * F.col("capacity")))
     )
     histogram = items.groupBy("pack", "n_tokens").agg(F.count("*").alias("n")).toPandas()
+    shards = shards or max(8, int(histogram["n"].sum()) // TASK_ITEMS)
     bounds, rows = {}, []
     for i, name in enumerate(names):
         own = histogram[histogram["pack"] == i].sort_values("n_tokens")
