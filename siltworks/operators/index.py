@@ -7,6 +7,17 @@ from siltworks.functions.porter import with_stem
 from siltworks.functions.text import index_tokens, index_words, words_of
 
 WINDOW = 60
+#: Words of a text that one row of a snippet's job holds.
+CHUNK = 512
+#: A vocabulary of up to so many words is stemmed once and broadcast; of a larger one every occurrence is stemmed in place.
+VOCABULARY = 500_000
+
+
+def with_stems(rows: DataFrame, word: str, out: str) -> DataFrame:
+    """Add the stem of a lower-case word: by a broadcast vocabulary where its estimated size allows, else in place. Null words have null stems."""
+    if rows.agg(F.approx_count_distinct(word)).first()[0] > VOCABULARY:
+        return with_stem(rows, word, out)
+    return rows.join(F.broadcast(with_stem(rows.select(word).where(F.col(word).isNotNull()).distinct(), word, out)), word, "left")
 
 
 def tokens(pages: DataFrame, key: str, text: str, mode: str = "compat") -> DataFrame:
@@ -15,7 +26,7 @@ def tokens(pages: DataFrame, key: str, text: str, mode: str = "compat") -> DataF
     Positions count all tokens of the normalized text; tokens of up to two letters hold a position but are no terms.
     """
     rows = pages.select(key, F.posexplode(index_tokens(F.col(text), mode)).alias("position", "token")).where("length(token) > 2")
-    return with_stem(rows, "token", "term")
+    return with_stems(rows, "token", "term").select(key, "position", "token", "term")
 
 
 def term_frequencies(pages: DataFrame, key: str, text: str, mode: str = "compat") -> DataFrame:
@@ -31,46 +42,78 @@ def heading_flags(pages: DataFrame, terms: DataFrame, key: str, levels: tuple[st
     return terms.select(key, "term").join(pages.select(key, *levels), key).select(key, "term", F.array(*[has(c) for c in levels]).alias("headers"))
 
 
-def stemmed_words(pages: DataFrame, key: str, text: str, mode: str = "compat") -> DataFrame:
-    """``key, words, stems``: the raw words of a text and the stem by which each is matched.
+def raw_words(pages: DataFrame, key: str, text: str, mode: str = "compat") -> DataFrame:
+    """``key, at, term``: the stem by which each raw word of a text is matched; words without one are left out.
 
     Compat stems the lower-case raw word with its punctuation; intended stems it as the index does.
     """
     raw = pages.select(key, F.posexplode(words_of(F.col(text))).alias("at", "word"))
     match = F.lower("word") if mode == "compat" else F.coalesce(F.element_at(index_words(F.col("word"), mode), 1), F.lit(""))
-    rows = with_stem(raw.withColumn("match", match), "match", "stem")
-    whole = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("at", "word", "stem"))).alias("w"))
-    return whole.select(key, F.col("w.word").alias("words"), F.col("w.stem").alias("stems"))
+    return with_stems(raw.select(key, "at", match.alias("match")).where("match <> ''"), "match", "term").select(key, "at", "term").where("term <> ''")
+
+
+def word_chunks(pages: DataFrame, key: str, text: str, width: int = WINDOW) -> DataFrame:
+    """``key, chunk, first, total, words``: CHUNK words of a text a row, with ``width`` words of both neighbours; ``first`` is the number of the first word held."""
+    whole = pages.select(key, words_of(F.col(text)).alias("w")).where("size(w) > 0")
+    rows = whole.select(key, "w", F.explode(F.sequence(F.lit(0), F.expr(f"(size(w) - 1) div {CHUNK}").cast("int"))).alias("chunk"))
+    first = F.greatest(F.lit(0), F.col("chunk") * CHUNK - width)
+    held = F.slice("w", first + 1, F.lit(CHUNK + 2 * width))
+    return rows.select(key, "chunk", first.alias("first"), F.size("w").alias("total"), held.alias("words"))
 
 
-def snippet_at(words: Column, stems: Column, term: Column, at: Column, width: int = WINDOW) -> Column:
-    """The window of ``width`` words around word ``at`` (0-based), moved inside the text, with the term's words in bold."""
-    n = F.size(words)
-    first = F.greatest(F.lit(0), at - width // 2)
-    end = F.least(n, first + width)
-    start = F.when(end - first < width, F.greatest(F.lit(0), end - width)).otherwise(first)
-    pairs = F.arrays_zip(F.slice(words, start + 1, end - start).alias("w"), F.slice(stems, start + 1, end - start).alias("s"))
-    bold = F.transform(pairs, lambda x: F.when(x["s"] == term, F.concat(F.lit("<b>"), x["w"], F.lit("</b>"))).otherwise(x["w"]))
-    text = F.concat(F.when(start > 0, "... ").otherwise(""), F.array_join(bold, " "), F.when(end < n, "...").otherwise(""))
-    return F.trim(text)
+def _window(at: Column, spots: Column, width: int) -> Column:
+    """The window of ``width`` words around word ``at`` (0-based), moved inside the text, with the words at ``spots`` in bold.
+
+    As the index writes them: a space behind every word, dots where the text goes on, blanks trimmed at the ends.
+    """
+    n, base = F.col("total"), F.col("first")
+    start = F.greatest(F.lit(0), at - width // 2)
+    end = F.least(n, start + width)
+    start = F.when(end - start < width, F.greatest(F.lit(0), end - width)).otherwise(start)
+    build = lambda s, e: F.trim(
+        F.concat(
+            F.when(s > 0, "... ").otherwise(""),
+            F.array_join(
+                F.transform(F.slice("words", s - base + 1, e - s), lambda w, i: F.when(F.array_contains(spots, s + i), F.concat(F.lit("<b>"), w, F.lit("</b>"))).otherwise(w)), " "
+            ),
+            F.when(e < n, " ...").otherwise(""),
+        )
+    )
+    bounds = F.array(F.struct(start.alias("s"), end.alias("e")))
+    return F.element_at(F.transform(bounds, lambda b: build(b["s"], b["e"])), 1)
+
+
+def snippets_at(chunks: DataFrame, places: DataFrame, key: str, width: int = WINDOW) -> DataFrame:
+    """``key, term, snippets`` of ``places(key, term, at)``: one snippet per place, in text order, from the words of word_chunks.
+
+    A chunk meets its places once, and windows are cut inside the row, so the work grows with the snippets' length only.
+    """
+    own = places.select(key, "term", "at", F.expr(f"at div {CHUNK}").cast("int").alias("chunk"))
+    # words up to a window's width away are bold, too, so a chunk knows its neighbours' places of the same term
+    near = own.withColumn("c", F.explode(F.array_distinct(F.array(*[F.expr(f"int((at + {d}) div {CHUNK})") for d in (-width, 0, width)])))).where("c >= 0")
+    lists = near.groupBy(key, F.col("c").alias("chunk"), "term").agg(F.sort_array(F.collect_list("at")).alias("spots"))
+    per_chunk = lists.groupBy(key, "chunk").agg(F.collect_list(F.struct("term", "spots")).alias("terms"))
+    inside = lambda at: F.expr("chunk") == (at / CHUNK).cast("int")
+    cut = lambda t: F.transform(F.filter(t["spots"], inside), lambda at: F.struct(at.alias("at"), _window(at, t["spots"], width).alias("snippet")))
+    made = chunks.join(per_chunk, [key, "chunk"]).select(key, F.explode(F.transform("terms", lambda t: F.struct(t["term"].alias("term"), cut(t).alias("made")))).alias("x"))
+    parts = made.select(key, "x.term", "x.made").where("size(made) > 0")
+    return parts.groupBy(key, "term").agg(F.transform(F.array_sort(F.flatten(F.collect_list("made"))), lambda x: x["snippet"]).alias("snippets"))
 
 
 def snippets(pages: DataFrame, terms: DataFrame, key: str, text: str, width: int = WINDOW, mode: str = "compat") -> DataFrame:
     """``key, term, snippets``: one snippet per occurrence of a term's stem among the raw words, in text order.
 
-    ``terms(key, term)`` are the terms wanted. The texts' words are stemmed once; each occurrence carries only its own
-    window out of the row.
+    ``terms(key, term)`` are the terms wanted. Texts are stemmed once and cut into chunks; texts of any length cost in
+    proportion to it.
     """
-    base = stemmed_words(pages, key, text, mode)
-    occurrences = base.select(key, "words", "stems", F.posexplode("stems").alias("at", "term")).where("length(term) > 0")
-    wanted = occurrences.select(key, "term", "at", snippet_at(F.col("words"), F.col("stems"), F.col("term"), F.col("at"), width).alias("snippet")).join(terms.select(key, "term").distinct(), [key, "term"], "left_semi")
-    return wanted.groupBy(key, "term").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "snippet"))), lambda x: x["snippet"]).alias("snippets"))
+    places = raw_words(pages, key, text, mode).join(terms.select(key, "term").distinct(), [key, "term"], "left_semi")
+    return snippets_at(word_chunks(pages, key, text, width), places, key, width)
 
 
 def wide_snippets(pages: DataFrame, key: str, text: str, term: str, around: int = 35) -> DataFrame:
     """``key, snippet``: windows of ``around`` words on both sides of each word whose bare stem is the term, one a line."""
     raw = pages.select(key, F.posexplode(words_of(F.col(text))).alias("at", "word"))
-    rows = with_stem(raw.withColumn("bare", F.regexp_replace(F.lower("word"), r"\W", "")), "bare", "stem")
+    rows = with_stems(raw.withColumn("bare", F.regexp_replace(F.lower("word"), r"\W", "")), "bare", "stem")
     w = Window.partitionBy(key).orderBy("at")
     near = rows.withColumn("near", F.array_join(F.collect_list("word").over(w.rowsBetween(-around, around)), " ")).where(F.col("stem") == term)
     line = F.transform(F.array_sort(F.collect_list(F.struct("at", "near"))), lambda x: F.concat(F.lit("- "), x["near"]))
@@ -80,22 +123,25 @@ def wide_snippets(pages: DataFrame, key: str, text: str, term: str, around: int
 def character_snippets(pages: DataFrame, key: str, text: str, term: str, length: int = 150) -> DataFrame:
     """``key, snippet``: ``length`` characters around the first word whose stem (case kept) is the term.
 
-    The cut ends move outwards to spaces and are marked; matched words are bold. Texts without a match give a space,
-    null texts an empty string.
+    The start moves back behind the space at or before it, the end on to the next space, and cuts are marked. Every
+    match of the text, wherever it stands, makes its spelling bold once more, whatever the case, so repeats nest. Texts
+    without a match give a space, null texts an empty string.
     """
-    words = pages.select(key, F.col(text).alias("text"), F.posexplode_outer(F.regexp_extract_all(F.col(text), F.lit(r"\b\w+\b"), F.lit(0))).alias("at", "word"))
-    hit = with_stem(words, "word", "stem").where(F.col("stem") == term)
-    first = hit.groupBy(key).agg(F.min_by("word", "at").alias("word"), F.min("at").alias("nth"), F.array_distinct(F.collect_list("word")).alias("hits"))
+    words = pages.select(key, F.posexplode(F.regexp_extract_all(F.col(text), F.lit(r"\b\w+\b"), F.lit(0))).alias("at", "word"))
+    hit = with_stems(words, "word", "stem").where(F.col("stem") == term)
+    spelled = hit.groupBy(key, F.lower("word").alias("w")).agg(F.count("*").cast("int").alias("n"), F.min(F.struct("at", "word")).alias("first"))
+    first = spelled.groupBy(key).agg(F.min("first").alias("first"), F.array_sort(F.collect_list(F.struct("w", "n"))).alias("hits")).select(key, "first.word", "hits")
     rows = pages.select(key, F.col(text).alias("text")).join(first, key, "left")
     at = F.regexp_instr("text", F.concat(F.lit(r"\b"), F.col("word"), F.lit(r"\b"))) - 1
     lo, hi = F.greatest(F.lit(0), at - length // 2), F.least(F.length("text"), at + F.length("word") + length // 2)
-    before = F.substring("text", F.lit(1), lo)
-    start = F.when(lo > 0, F.length(before) - F.length(F.substring_index(before, " ", -1))).otherwise(0)
+    before = F.substring("text", F.lit(1), lo + 1)
+    start = F.when(lo > 0, F.when(F.contains(before, F.lit(" ")), F.length(before) - F.length(F.substring_index(before, " ", -1))).otherwise(0)).otherwise(0)
     after = F.substring(F.col("text"), hi + 1, F.length("text"))
     stop = F.when(hi < F.length("text"), hi + F.length(F.substring_index(after, " ", 1))).otherwise(hi)
     cut = F.substring(F.col("text"), start + 1, stop - start)
-    pattern = F.concat(F.lit(r"(?i)\b("), F.array_join("hits", "|"), F.lit(r")\b"))
-    marked = F.concat(F.when(start > 0, "...").otherwise(""), F.regexp_replace(cut, pattern, F.lit("<b>$1</b>")), F.when(stop < F.length("text"), "...").otherwise(""))
+    # spellings never overlap, so those that differ by more than case can be marked one after the other
+    bold = F.aggregate("hits", cut, lambda s, h: F.regexp_replace(s, F.concat(F.lit(r"(?i)\b"), h["w"], F.lit(r"\b")), F.concat(F.repeat(F.lit("<b>"), h["n"]), F.lit("$0"), F.repeat(F.lit("</b>"), h["n"]))))
+    marked = F.concat(F.when(start > 0, "...").otherwise(""), bold, F.when(stop < F.length("text"), "...").otherwise(""))
     return rows.select(key, F.when(F.col("text").isNull(), "").when(F.col("word").isNull(), " ").otherwise(marked).alias("snippet"))
 
 

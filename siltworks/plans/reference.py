@@ -83,7 +83,7 @@ ws as materialized (select {key}, list(stem order by spot) stems from wx join wv
 occ as (select {key}, words, stems, unnest(stems) term, generate_subscripts(stems, 1) - 1 as spot from wl join ws using ({key})),
 cut as (select *, len(words) n, greatest(0, spot - 30) a, least(len(words), greatest(0, spot - 30) + 60) e from occ where length(term) > 0),
 win as (select *, case when e - a < 60 then greatest(0, e - 60) else a end s from cut),
-snips as (select {key}, term, spot, trim(case when s > 0 then '... ' else '' end || array_to_string(list_transform(range(s + 1, e + 1), lambda i: case when stems[i] = term then '<b>' || words[i] || '</b>' else words[i] end), ' ') || case when e < n then '...' else '' end, ' ') snippet from win)"""
+snips as (select {key}, term, spot, trim(case when s > 0 then '... ' else '' end || array_to_string(list_transform(range(s + 1, e + 1), lambda i: case when stems[i] = term then '<b>' || words[i] || '</b>' else words[i] end), ' ') || case when e < n then ' ...' else '' end, ' ') snippet from win)"""
 
 
 # ---- urls ----
@@ -322,7 +322,16 @@ def snippet35(s, d):
     return index.wide_snippets(_current(s, d), "url", "content", TERM)
 
 
-@query()
+_CHARS = rf"""with {_CURRENT}, cw as (select url, unnest(l) word, generate_subscripts(l, 1) spot from (select url, regexp_extract_all(content, '\b\w+\b') l from cur)),
+cv as materialized ({stem_sql("select distinct word as w from cw", "w", "stem3")}),
+ch as (select url, list(word order by spot) hits from cw join cv on word = w where stem3 = '{TERM}' group by 1),
+cp as (select url, content as t, hits, length(regexp_extract(content, '(?s)^(.*?)\b' || hits[1] || '\b', 1)) a from cur left join ch using (url)),
+cb as (select *, greatest(0, a - 75) lo, least(length(t), a + length(hits[1]) + 75) hi from cp),
+cs as (select *, case when lo > 0 then length(regexp_extract(t[1:lo + 1], '(?s)^(.* )', 1)) else 0 end s, hi + length(regexp_extract(t[hi + 1:], '(?s)^([^ ]*)', 1)) e from cb)
+select url, case when hits is null then ' ' else case when s > 0 then '...' else '' end || list_reduce(list_prepend(t[s + 1:e], hits), lambda x, w: regexp_replace(x, '(?i)\b' || w || '\b', '<b>\0</b>', 'g')) || case when e < length(t) then '...' else '' end end as snippet from cs"""
+
+
+@query(_CHARS)
 def snippet_chars(s, d):
     return index.character_snippets(_current(s, d), "url", "content", TERM)
 

@@ -16,12 +16,47 @@ def test_snippet_window(spark, at, first, last, pre, post):
     got = index.snippets(df, spark.createDataFrame([("u", "bird")], "url string, term string"), "url", "content").first().snippets
     assert len(got) == 1
     s = got[0]
-    assert s.startswith("... ") == pre and s.endswith("...") == post and "<b>birds</b>" in s
-    body = s.removeprefix("... ").removesuffix("...").split()
+    assert s.startswith("... ") == pre and s.endswith(" ...") == post and s.endswith("...") == post and "<b>birds</b>" in s
+    body = s.removeprefix("... ").removesuffix(" ...").split()
     assert len(body) == 60
     assert body[0] in (f"w{first}", "<b>birds</b>") and body[-1] in (f"w{last}", "<b>birds</b>")
 
 
+def test_snippets_of_long_texts(spark, monkeypatch):
+    """Windows across chunks equal those of the whole text; places of other chunks are bold, too."""
+    words = ["bird" if i % 29 in (0, 3) else f"w{i}" for i in range(1300)]
+    df = spark.createDataFrame([("u", "  " + " ".join(words) + " "), ("v", "one bird"), ("n", None), ("e", "")], "url string, content string")
+    terms = spark.createDataFrame([("u", "bird"), ("u", "none"), ("v", "bird")], "url string, term string")
+    text = ["", *words]
+    want = []
+    for i, w in enumerate(text):
+        if w == "bird":
+            a = max(0, i - 30)
+            b = min(len(text), a + 60)
+            a = max(0, b - 60) if b - a < 60 else a
+            want.append((("... " if a else "") + " ".join(f"<b>{x}</b>" if x == "bird" else x for x in text[a:b]) + (" ..." if b < len(text) else "")).strip())
+    for size in (64, 512):
+        monkeypatch.setattr(index, "CHUNK", size)
+        got = {r.url: r.snippets for r in index.snippets(df, terms, "url", "content").collect()}
+        assert got == {"u": want, "v": ["one <b>bird</b>"]}
+
+
+def test_character_snippets(spark):
+    text = "aaaa bbbb cccc river dddd river eeee ffff"
+    df = spark.createDataFrame([(1, text, "x"), (2, "no such word", "x"), (3, None, "x"), (4, "Rivers rivers river.", "x"), (5, "x" * 30 + "y river", "x")], "id int, t string, word string")
+    got = {r.id: r.snippet for r in index.character_snippets(df, "id", "t", "river", 12).collect()}
+    assert got[1] == "...cccc <b><b>river</b></b> dddd <b><b>river</b></b>..."
+    assert got[2] == " " and got[3] == "" and got[4] == "<b>Rivers</b> <b>rivers</b> <b>river</b>."
+    assert got[5] == "x" * 30 + "y <b>river</b>"
+
+
+def test_stems_in_place_and_by_vocabulary(spark, monkeypatch):
+    df = spark.createDataFrame([("a", "running dogs running"), ("b", None), ("c", "")], "id string, t string")
+    one = sorted(map(str, index.tokens(df, "id", "t").collect()))
+    monkeypatch.setattr(index, "VOCABULARY", 0)
+    assert sorted(map(str, index.tokens(df, "id", "t").collect())) == one and len(one) == 3
+
+
 GRAPHS = [
     ("ABCD", "AB AC BC CA CD", {"A": 0.234001774, "B": 0.186651222, "C": 0.345345229, "D": 0.234001774}),
     ("ABCD", "AA AB", {"A": 0.317454106, "B": 0.317454106, "C": 0.182545894, "D": 0.182545894}),
