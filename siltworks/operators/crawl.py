@@ -1,5 +1,7 @@
 """Breadth-first crawl over a table of fetched pages, with robots rules and content deduplication."""
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -7,6 +9,7 @@ from siltworks.functions.text import fingerprint
 from siltworks.functions.urls import crawl_key, robots_base
 from siltworks.session import ensure_checkpoint_dir
 
+# Pages that a crawl stores at most, and the names that robots rules call us by.
 LIMIT = 6000
 AGENTS = ("*", "MyCrawler/1.0")
 
@@ -50,40 +53,69 @@ def allowed(urls: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def first_contents(pages: DataFrame, known: DataFrame) -> DataFrame:
-    """Rows of ``pages(fingerprint, seq, ...)`` that are the first of their fingerprint and not in ``known(fingerprint)``."""
-    nth = F.row_number().over(Window.partitionBy("fingerprint").orderBy("seq", "url"))
-    return pages.withColumn("nth", nth).where("nth = 1").drop("nth").join(known.select("fingerprint"), "fingerprint", "left_anti")
+    """Rows of ``pages(fingerprint, seq, url, ...)`` that are the first of their fingerprint and not in ``known(fingerprint)``.
+
+    The first rows are found by an aggregation that combines before the shuffle, so a content with a third of all
+    pages costs a row a task; contents themselves are joined with the winners only. Null fingerprints are unique.
+    """
+    first = pages.where("fingerprint is not null").groupBy("fingerprint").agg(F.min(F.struct("seq", "url")).alias("f")).join(known.select("fingerprint"), "fingerprint", "left_anti")
+    winners = first.select(F.col("f.seq").alias("__seq"), F.col("f.url").alias("__url"))
+    return pages.join(winners, (F.col("seq") == F.col("__seq")) & (F.col("url") == F.col("__url")), "left_semi").unionByName(pages.where("fingerprint is null"))
+
+
+@dataclass(frozen=True)
+class Crawl:
+    """``stored``: ``url, norm, title, content, fingerprint, depth``; ``frontier``: ``url`` of what is left; ``seen``: ``norm`` of all keys met."""
 
+    stored: DataFrame
+    frontier: DataFrame
+    seen: DataFrame
 
-def crawl(start: DataFrame, web: DataFrame, rules: DataFrame, visited: DataFrame, known: DataFrame, limit: int = LIMIT, dedup_content: bool = True, rounds: int = 1000) -> DataFrame:
-    """``url, norm, title, content, fingerprint, depth`` of the pages that a crawl from ``start(url)`` stores.
+
+def _cut(pages: DataFrame, left: int) -> DataFrame:
+    """The first ``left`` rows by ``seq`` and ``norm``: the bound is found on these two columns, the pages are filtered by it."""
+    last = pages.select("seq", "norm").orderBy("seq", "norm").limit(left).agg(F.max(F.struct("seq", "norm")).alias("m")).first()["m"]
+    return pages.where((F.col("seq") < F.lit(last["seq"])) | (F.col("seq") == F.lit(last["seq"])) & (F.col("norm") <= F.lit(last["norm"])))
+
+
+def crawl(start: DataFrame, web: DataFrame, rules: DataFrame, visited: DataFrame, known: DataFrame, limit: int = LIMIT, dedup_content: bool = True) -> Crawl:
+    """A crawl from ``start(url)`` until ``limit`` pages are stored or the frontier is empty.
 
     ``web(norm, title, content, links)`` has the pages that can be fetched, ``visited(norm)`` and ``known(fingerprint)``
     what is stored already. Every round is one plan: drop seen keys, apply robots rules, fetch by join, drop known
-    contents, expand links. Keys count as seen before they are fetched, so failures are not tried again. Ends at
-    ``limit`` pages or on an empty frontier. Links of duplicates are not followed. Lineage is cut in each round.
+    contents, expand links. Within a round addresses come in code point order. Keys count as seen before they are
+    fetched, so failures are not tried again. Links of duplicates are not followed. Only a round that goes beyond the
+    limit is sorted, on its keys; its other pages and the links found last stay in the frontier, to be saved and
+    resumed. Seen keys are appended per round and rewritten when the rounds since the last time have doubled.
     """
-    ensure_checkpoint_dir(start.sparkSession)
-    frontier = start.select("url", F.xxhash64("url").alias("seq"))
-    seen, prints, stored, n = visited.select("norm"), known.select("fingerprint"), None, 0
-    for depth in range(rounds):
-        new = allowed_new = unseen(frontier, seen).checkpoint()
-        if not new.take(1):
+    spark = start.sparkSession
+    ensure_checkpoint_dir(spark)
+    frontier = start.where("url is not null").select("url", F.col("url").alias("seq"))
+    seen, prints, n, depth, rewritten = visited.select("norm"), known.select("fingerprint"), 0, 0, 8
+    stored = web.limit(0).select(F.col("norm").alias("url"), "norm", "title", "content", F.lit("").alias("fingerprint"), F.lit(0).alias("depth"))
+    left = spark.createDataFrame([], "url string")
+    while True:
+        new = unseen(frontier, seen).checkpoint()
+        if n >= limit or not new.take(1):
+            left = left.unionByName(new.select("url"))
             break
-        allowed_new = allowed(new, rules)
-        got = allowed_new.join(web, "norm").withColumn("fingerprint", fingerprint(F.col("title"), F.col("content")))
-        got = (first_contents(got, prints) if dedup_content else got).orderBy("seq", "norm").limit(max(limit - n, 0)).withColumn("depth", F.lit(depth)).checkpoint()
+        got = allowed(new, rules).join(web, "norm").withColumn("fingerprint", fingerprint(F.col("title"), F.col("content")))
+        got = (first_contents(got, prints) if dedup_content else got).withColumn("depth", F.lit(depth)).checkpoint()
+        found = got.count()
+        if found > limit - n:
+            whole, got = got, _cut(got, limit - n)
+            left = left.unionByName(whole.join(got.select("norm"), "norm", "left_anti").select("url"))
         out = got.select("url", "norm", "title", "content", "fingerprint", "depth")
-        stored = out if stored is None else stored.unionByName(out)
-        n += got.count()
-        seen = seen.unionByName(new.select("norm")).distinct().checkpoint()
+        stored = stored.unionByName(out)
+        n += min(found, limit - n)
+        seen = seen.unionByName(new.select("norm"))
         prints = prints.unionByName(got.select("fingerprint"))
-        if n >= limit:
-            break
-        frontier = got.select(F.explode("links").alias("url")).where("url is not null and url <> ''").select("url", F.xxhash64("url").alias("seq"))
-    if stored is None:
-        return web.limit(0).select(F.col("norm").alias("url"), "norm", "title", "content", F.lit("").alias("fingerprint"), F.lit(0).alias("depth"))
-    return stored
+        depth += 1
+        if depth == rewritten:
+            seen, prints, stored, rewritten = seen.checkpoint(), prints.checkpoint(), stored.checkpoint(), 2 * rewritten
+        links = got.select(F.explode("links").alias("url")).where("url is not null and url <> ''")
+        frontier = links.select("url", F.col("url").alias("seq"))
+    return Crawl(stored, left, seen)
 
 
 def crawl_stats(stored: DataFrame) -> DataFrame:

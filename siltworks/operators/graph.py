@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from siltworks.functions.urls import index_key
 from siltworks.session import ensure_checkpoint_dir
 
+# Damping, greatest movement of a rank at the end, most rounds.
 DAMPING, TOLERANCE, ROUNDS = 0.85, 1e-4, 50
 
 
@@ -59,4 +60,8 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = DAMPING, toler
         ranks = new.select("node", "sink", F.col("new").alias("rank"))
         if moved <= tolerance:
             break
-    return ranks.select("node", "rank")
+    out = ranks.select("node", "rank").checkpoint()
+    kept.unpersist()
+    if held is not None:
+        held.unpersist()
+    return out

@@ -48,7 +48,7 @@ def raw_words(pages: DataFrame, key: str, text: str, mode: str = "compat") -> Da
     Compat stems the lower-case raw word with its punctuation; intended stems it as the index does.
     """
     raw = pages.select(key, F.posexplode(words_of(F.col(text))).alias("at", "word"))
-    match = F.lower("word") if mode == "compat" else F.coalesce(F.element_at(index_words(F.col("word"), mode), 1), F.lit(""))
+    match = F.lower("word") if mode == "compat" else F.coalesce(F.try_element_at(index_words(F.col("word"), mode), F.lit(1)), F.lit(""))
     return with_stems(raw.select(key, "at", match.alias("match")).where("match <> ''"), "match", "term").select(key, "at", "term").where("term <> ''")
 
 

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from siltworks.functions.porter import with_stem
 from siltworks.functions.text import contains_sentence, highlight_phrase, index_tokens, is_phrase, query_words, strip_bold, title_words
 from siltworks.functions.urls import rank_key
+from siltworks.operators.suggest import is_blank
+from siltworks.schemas import RESULTS
 
 # Weights of the score.
 W_TFIDF, W_RANK, W_TITLE, HEADINGS, HEADING_CAP = 0.4, 0.3, 0.7, (0.45, 0.25, 0.10), 0.45
@@ -29,19 +31,22 @@ def matching_postings(postings: DataFrame, terms: DataFrame, every: bool = False
     return hit.join(full.select("url"), "url", "left_semi")
 
 
-def phrase_filter(postings: DataFrame, phrase: str) -> DataFrame:
-    """Postings with a snippet that holds the phrase between boundaries."""
+def phrase_filter(postings: DataFrame, phrase: str, pages: DataFrame | None = None) -> DataFrame:
+    """Postings with a snippet that holds the phrase between boundaries; with ``pages(url, content)`` those of pages whose text does."""
+    if pages is not None:
+        return postings.join(pages.where(contains_sentence(F.col("content"), phrase)).select("url"), "url", "left_semi")
     return postings.where(F.coalesce(F.exists("snippets", lambda s: contains_sentence(strip_bold(s), phrase)), F.lit(False)))
 
 
 def score_components(hits: DataFrame, stats: DataFrame, pages: DataFrame, words: list[str]) -> DataFrame:
-    """``link, tfidf, page_rank, title_matches, heading, title, snippets`` by rank key.
+    """``link, tfidf, page_rank, title_matches, heading, title, snippets, term, id`` by rank key; ``id`` from pages with a ``page_id``.
 
     Title from the first and snippets from the last posting in order of term and url; an unknown page ranks 0.
     """
+    ids = F.col("page_id") if "page_id" in pages.columns else F.lit(None).cast("string")
     rows = (
         hits.join(stats.select("term", "idf"), "term")
-        .join(pages.select("url", "page_rank"), "url", "left")
+        .join(pages.select("url", "page_rank", ids.alias("__id")), "url", "left")
         .withColumn("page_rank", F.coalesce("page_rank", F.lit(0.0)))
         .withColumn("link", rank_key(F.col("url")))
     )
@@ -56,6 +61,7 @@ def score_components(hits: DataFrame, stats: DataFrame, pages: DataFrame, words:
         F.min_by("title", order).alias("title"),
         F.max_by("snippets", order).alias("snippets"),
         F.max("term").alias("term"),
+        F.min("__id").alias("id"),
     )
 
 
@@ -80,28 +86,50 @@ def final_scores(components: DataFrame, n_words: int, mode: str = "compat") -> D
 def search(spark: SparkSession, query: str, postings: DataFrame, stats: DataFrame, pages: DataFrame, mode: str = "compat") -> DataFrame:
     """``term, url, title, snippet, id, score`` of a query, best first (NaN before all), ties by url.
 
-    A query in double quotes is a phrase and is searched in snippets; blank queries have no results. ``term`` and
-    ``id`` are null in compat mode. Pages without a snippet of a matched term are dropped.
+    A query in double quotes is a phrase. Compat mode searches it in snippets and leaves ``term`` and ``id`` null;
+    intended mode searches it in the text of ``pages`` where that has ``content``, and gives the last matched term and
+    the page's ``page_id``. Blank queries have no results. Pages without a snippet of a matched term are dropped.
     """
+    if is_blank(query):
+        return spark.createDataFrame([], RESULTS)
     phrase = query[1:-1] if is_phrase(query) else None
     text = phrase if phrase is not None else query
+    intended = mode == "intended"
     terms = query_terms(spark, text, mode)
-    hits = matching_postings(postings, terms, every=phrase is not None and mode == "intended")
+    hits = matching_postings(postings, terms, every=phrase is not None and intended)
     if phrase is not None:
-        hits = phrase_filter(hits, phrase)
+        hits = phrase_filter(hits, phrase, pages if intended and "content" in pages.columns else None)
     words = title_words(query, mode)
     scored = final_scores(score_components(hits, stats, pages, words), len(words), mode)
     if phrase is None:
-        snippet = F.element_at("snippets", 1)
+        snippet = F.try_element_at("snippets", F.lit(1))
     else:
         found = F.filter("snippets", lambda s: contains_sentence(strip_bold(s), phrase))
         snippet = highlight_phrase(F.when(F.size(found) > 0, F.element_at(found, 1)), phrase, mode)
-    term = F.lit(None).cast("string") if mode == "compat" else F.col("term")
-    rows = scored.where(F.size("snippets") > 0).select(term.alias("term"), F.col("link").alias("url"), "title", snippet.alias("snippet"), F.lit(None).cast("string").alias("id"), "score")
+        snippet = F.coalesce(snippet, F.try_element_at("snippets", F.lit(1))) if intended else snippet
+    nothing = F.lit(None).cast("string")
+    rows = scored.where(F.size("snippets") > 0).select(
+        (F.col("term") if intended else nothing).alias("term"), F.col("link").alias("url"), "title", snippet.alias("snippet"), (F.col("id") if intended else nothing).alias("id"), "score"
+    )
     rows = rows.where("snippet is not null") if phrase is not None else rows
     return rows.orderBy(F.desc("score"), F.asc("url"))
 
 
+def response(results: DataFrame, page: int = 1, size: int = 10) -> DataFrame:
+    """One row ``total, results``: how many results there are, and one page of them in order."""
+    numbered = page_of(results, page, size)
+    order = F.struct((-F.col("score")).alias("s"), F.col("url").alias("u"), F.struct(*results.columns).alias("r"))
+    shown = numbered.agg(F.transform(F.array_sort(F.collect_list(order)), lambda x: x["r"]).alias("results"))
+    return total(results).crossJoin(F.broadcast(shown))
+
+
+def escaped(snippet: Column) -> Column:
+    """A snippet that is safe to show: everything but the bold marks is escaped."""
+    for c, e in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        snippet = F.replace(snippet, F.lit(c), F.lit(e))
+    return F.replace(F.replace(snippet, F.lit("&lt;b&gt;"), F.lit("<b>")), F.lit("&lt;/b&gt;"), F.lit("</b>"))
+
+
 def unranked(hits: DataFrame) -> DataFrame:
     """``term, url, title, snippet``: the first non-empty snippet of every posting that has one."""
     good = F.filter(F.coalesce("snippets", F.array().cast("array<string>")), lambda s: s != "")

@@ -1,15 +1,16 @@
 """Queries of the crawl, index, rank and search operators over whole tables, with their SQL."""
 
-import tempfile
+import hashlib
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siltworks.functions import html, text, urls
 from siltworks.functions.porter import stem_sql, with_stem
-from siltworks.operators import crawl, graph, index, search, store, suggest
+from siltworks.operators import crawl, graph, index, indexing, search, store, suggest
 from siltworks.operators.postings import indexed
 from siltworks.plans.sqlparts import key_sql
+from siltworks.session import shared_folder
 from siltworks.sources import table
 from siltworks.streaming import incremental
 
@@ -43,7 +44,7 @@ def _current(s: SparkSession, d: str) -> DataFrame:
     nth = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("stored_at"), F.desc("page_id"), F.desc("crawled_at")))
     none = F.array().cast("array<string>")
     h1 = F.when(F.col("title").isNull(), none).otherwise(F.array("title"))
-    return rows.withColumn("nth", nth).where("nth = 1").select(F.col("key").alias("url"), "title", "content", "links", "page_rank", h1.alias("h1"), none.alias("h2"), none.alias("h3"))
+    return rows.withColumn("nth", nth).where("nth = 1").select(F.col("key").alias("url"), "title", "content", "links", "page_rank", F.lower(F.trim("page_id")).alias("page_id"), h1.alias("h1"), none.alias("h2"), none.alias("h3"))
 
 
 _CURRENT = f"""cur as (
@@ -396,15 +397,53 @@ def crawl_bfs(s, d):
     nothing = web.limit(0)
     rules = s.createDataFrame([], "base string, disallow string")
     got = crawl.crawl(start, web, rules, nothing, nothing.select(F.col("title").alias("fingerprint")), limit=2**31 - 1, dedup_content=False)
-    return got.select("norm")
+    return got.stored.select("norm")
+
+
+def _crawl_sql(limit: int, rounds: int = 14) -> str:
+    """A crawl by unrolled rounds; those behind the last page are empty."""
+    fp = _FP.replace("text", "content")
+    parts = [_CURRENT, f"web as materialized (select url as norm, to_base64(unhex(md5({fp}))) as print, title, content, links from cur)"]
+    parts.append(f"gone as materialized (select distinct {key_sql('url')} as k from removed_pages where {_HTTP})")
+    parts.append("prints0 as materialized (select distinct print from web where norm in (select k from gone))")
+    parts.append(f"front0 as materialized (select url from pending where {_HTTP})")
+    parts.append("seen0 as materialized (select k from gone)")
+    parts.append("stored0 as materialized (select norm, 0 as depth from web where false)")
+    blocked = f"regexp_extract(url, '^([A-Za-z]+://[^/?#:]*)', 1) in ({_BASES}) and regexp_matches(url, '^[a-z]+://[^/?#:]*(/guides|/item/q)')"
+    for i in range(1, rounds + 1):
+        parts.append(f"new{i} as materialized (select k, min(url) as url from (select {key_sql('url')} as k, url from front{i - 1}) where k is not null and k not in (select k from seen{i - 1}) and (select count(*) from stored{i - 1}) < {limit} group by 1)")
+        parts.append(f"got{i} as materialized (select *, row_number() over (partition by print order by url) nth from new{i} join web on k = norm where not ({blocked}) and print not in (select print from prints{i - 1}))")
+        parts.append(f"take{i} as materialized (select norm, print, links from got{i} where nth = 1 order by url, norm limit greatest(0, {limit} - (select count(*) from stored{i - 1})))")
+        parts.append(f"seen{i} as materialized (select k from seen{i - 1} union all select k from new{i})")
+        parts.append(f"prints{i} as materialized (select print from prints{i - 1} union all select print from take{i})")
+        parts.append(f"stored{i} as materialized (select * from stored{i - 1} union all select norm, {i - 1} from take{i})")
+        parts.append(f"front{i} as materialized (select url from (select unnest(links) as url from take{i}) where {_HTTP})")
+    return f"with {', '.join(parts)} select norm, depth from stored{rounds}"
+
+
+def _crawl(s: SparkSession, d: str, limit: int) -> crawl.Crawl:
+    """From the frontier over the stored pages, with robots rules and content dedup; removed pages and their contents count as visited."""
+    web = _current(s, d).select(F.col("url").alias("norm"), "title", "content", F.filter("links", lambda x: x.rlike("^(?i)https?://")).alias("links"))
+    removed = table(s, d, "removed_pages").where(F.col("url").rlike("^(?i)https?://")).select(urls.crawl_key(F.col("url")).alias("norm")).distinct()
+    known = web.join(removed, "norm", "left_semi").select(text.fingerprint(F.col("title"), F.col("content")).alias("fingerprint")).distinct()
+    start = table(s, d, "pending").where(F.col("url").rlike("^(?i)https?://"))
+    return crawl.crawl(start, web, _robots(s, d, "intended"), removed, known, limit=limit)
 
 
-@query()
+@query(_crawl_sql(2**31 - 1))
 def crawl_dedup(s, d):
-    web = _current(s, d).select(F.col("url").alias("norm"), "title", "content", "links")
-    nothing = web.limit(0)
-    got = crawl.crawl(table(s, d, "pending"), web, _robots(s, d, "intended"), nothing, nothing.select(F.col("title").alias("fingerprint")), limit=2**31 - 1)
-    return crawl.crawl_stats(got)
+    return _crawl(s, d, 2**31 - 1).stored.select("norm", "depth")
+
+
+@query(_crawl_sql(25))
+def crawl_limited(s, d):
+    """The page limit is the feature: the first 25 pages by round and address."""
+    return _crawl(s, d, 25).stored.select("norm", "depth")
+
+
+@query(f"with c as ({_crawl_sql(2**31 - 1)}) select count(*) as pages, count(distinct c.norm) as distinct_pages, sum(length(content))::bigint as characters from c join (with {_CURRENT} select url as norm, content from cur) w on c.norm = w.norm")
+def crawl_stats(s, d):
+    return crawl.crawl_stats(_crawl(s, d, 2**31 - 1).stored)
 
 
 # ---- graph ----
@@ -456,20 +495,27 @@ def pagerank_part(s, d):
 # ---- search ----
 
 
-def _index(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    pages = _current(s, d)
-    postings = index.build_postings(pages)
-    return postings, index.term_stats(postings, pages), pages
+def _stored(s: SparkSession, d: str, mode: str = "compat") -> indexing.StoredIndex:
+    """The index of the current pages in the session's shared folder; built by the first query that needs it."""
+    path = f"{shared_folder(s)}/index-{mode}-{hashlib.md5(d.encode()).hexdigest()}"
+    return indexing.open_index(s, path) or indexing.build_index(_current(s, d), path, mode)
 
 
-def _lean_index(s: SparkSession, d: str, q: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """As _index, with headings and snippets made for the query's terms only; statistics cover everything."""
-    pages = _current(s, d)
-    tf = index.term_frequencies(pages, "url", "content")
-    hits = tf.join(F.broadcast(search.query_terms(s, q)), "term")
-    flagged = hits.join(pages.select("url", "title"), "url").join(index.heading_flags(pages, hits, "url", ("h1", "h2", "h3")), ["url", "term"])
-    postings = flagged.join(index.snippets(pages, hits, "url", "content"), ["url", "term"], "left")
-    return postings, index.term_stats(tf, pages), pages
+def _lean_index(s: SparkSession, d: str, q: str, mode: str = "compat") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What the stored index has on the query's terms: postings with snippets, statistics, pages."""
+    stored = _stored(s, d, mode)
+    terms = [r["term"] for r in search.query_terms(s, q, mode).collect()]
+    return stored.hits(terms), stored.stats(terms), stored.part("pages")
+
+
+@query(f"with {_CURRENT}, {_tokens('cur', 'url', 'content')} select 'postings' as part, count(*) as n from tfs union all select 'stats', count(distinct term) from tfs union all select 'pages', count(*) from cur union all select 'failed', 0")
+def index_job(s, d):
+    return indexing.part_sizes(_stored(s, d))
+
+
+@query(f"with {_CURRENT}, {_tokens('cur', 'url', 'content')} select t.url, term, frequency, round(tf, 9) as tf, positions from tfs t where term in ('river', 'museum', 'quiet')")
+def index_lookup(s, d):
+    return _stored(s, d).hits(["river", "museum", "quiet"], snippets=False).select("url", "term", "frequency", F.round("tf", 9).alias("tf"), "positions")
 
 
 def _search_sql(terms: str, words: str, where: str = "true") -> str:
@@ -528,9 +574,20 @@ def unranked_results(s, d):
     return search.unranked(_lean_index(s, d, QUERY)[0])
 
 
+@query(f"{_TERM_SEARCH} select count(*) as total, least(10, count(*))::int as shown from ranked where len(snippets) > 0")
+def search_response(s, d):
+    answer = search.response(search.search(s, QUERY, *_lean_index(s, d, QUERY)))
+    return answer.select("total", F.size("results").alias("shown"))
+
+
 @query()
 def search_intended(s, d):
-    return search.search(s, QUERY, *_lean_index(s, d, QUERY), mode="intended").withColumn("score", F.round("score", 9))
+    return search.search(s, QUERY, *_lean_index(s, d, QUERY, "intended"), mode="intended").withColumn("score", F.round("score", 9))
+
+
+@query()
+def search_intended_phrase(s, d):
+    return search.search(s, PHRASE, *_lean_index(s, d, PHRASE[1:-1], "intended"), mode="intended").withColumn("score", F.round("score", 9))
 
 
 @query("""select term, url, title, list(distinct frequency order by frequency) as frequencies from (select lower(trim(term)) as term, url, title, frequency from postings) where term = 'river' group by 1, 2, 3""")
@@ -585,8 +642,7 @@ def pager_window(s, d):
 
 @query(f"with {_DOC} select term, count(*) as df from tfs group by 1")
 def incremental_index(s, d):
-    folder = s.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="siltworks-")
-    base = f"{folder.rstrip('/')}/stream-{s.range(1).select(F.uuid()).first()[0]}"
+    base = f"{shared_folder(s)}/stream-{s.range(1).select(F.uuid()).first()[0]}"
     schema = table(s, d, "documents").schema
     incremental.index_stream(s, f"{d}/documents.parque[t]", schema, f"{base}/index", f"{base}/log", "doc_id", "text").awaitTermination()
     return index.document_frequencies(s.read.parquet(f"{base}/index/postings"), "doc_id")

@@ -28,3 +28,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     if not shared and not sc.master.startswith("local"):
         raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="siltworks-"))
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The session's own folder below the checkpoint directory."""
+    ensure_checkpoint_dir(spark)
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)

@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltworks.operators.index import term_frequencies
+from siltworks.session import path_exists
 
 
 def index_stream(spark: SparkSession, source: str, schema, index: str, checkpoint: str, key: str = "url", text: str = "content"):
@@ -16,12 +17,9 @@ def index_stream(spark: SparkSession, source: str, schema, index: str, checkpoin
 
     def merge(batch: DataFrame, number: int) -> None:
         fresh = batch.where(F.col(key).isNotNull()).dropDuplicates([key])
-        try:
-            done = spark.read.parquet(f"{index}/keys").where(F.col("batch") != number)
+        if path_exists(spark, f"{index}/keys"):
+            done = spark.read.schema(f"`{key}` {dict(batch.dtypes)[key]}, batch long").parquet(f"{index}/keys").where(F.col("batch") != number)
             fresh = fresh.join(done.select(key), key, "left_anti")
-        except Exception as e:  # noqa: BLE001
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
         fresh = fresh.select(key, text).persist()
         term_frequencies(fresh, key, text).write.mode("overwrite").parquet(f"{index}/postings/batch={number}")
         fresh.select(key).write.mode("overwrite").parquet(f"{index}/keys/batch={number}")

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from siltworks.operators import crawl, graph, index, references, search, skew, store, suggest
+from siltworks.operators import crawl, graph, index, indexing, references, search, skew, store, suggest
 from siltworks.streaming import incremental
 
 
@@ -110,6 +110,39 @@ def test_phrase_search(spark, small_index):
     assert search.search(spark, '"Live near"', *small_index).count() == 0
 
 
+def test_intended_phrase_search_of_the_text(spark, small_index):
+    """A phrase is found in the page's text beyond its snippets, with the page's id; blank queries have no results."""
+    postings, stats, pages = small_index
+    pages = pages.withColumn("page_id", F.concat(F.lit("id-"), F.col("title")))
+    got = search.search(spark, '"live near water"', postings.withColumn("snippets", F.array(F.lit("elsewhere"))), stats, pages, mode="intended").collect()
+    assert [(r.url, r.id, r.snippet) for r in got] == [("https://a.org/birds", "id-Birds of Egypt", "elsewhere")]
+    assert search.search(spark, " \t", postings, stats, pages).count() == 0
+
+
+def test_response_and_escaping(spark, small_index):
+    one = search.response(search.search(spark, "birds ducks", *small_index), page=1, size=1).first()
+    assert one.total == 2 and [r.url for r in one.results] == ["https://b.org/ducks"]
+    df = spark.createDataFrame([('<script>"a" & <b>b</b>',)], "s string")
+    assert df.select(search.escaped(F.col("s"))).first()[0] == "&lt;script&gt;&quot;a&quot; &amp; <b>b</b>"
+
+
+def test_index_job(spark, tmp_path):
+    rows = [("https://a.org/b", "Birds", "birds sing", 0.5, ["https://a.org/c"]), ("https://a.org/c", "Cats", "cats and birds", None, []), ("https://a.org/n", None, None, 0.1, None)]
+    pages = spark.createDataFrame(rows, "url string, title string, content string, page_rank double, links array<string>")
+    pages = pages.select("*", *[F.array().cast("array<string>").alias(h) for h in ("h1", "h2", "h3")])
+    assert indexing.open_index(spark, str(tmp_path / "i")) is None
+    indexing.build_index(pages, str(tmp_path / "i"), rank=True)
+    stored = indexing.open_index(spark, str(tmp_path / "i"))
+    assert {r.part: r.n for r in indexing.part_sizes(stored).collect()} == {"postings": 3, "stats": 2, "pages": 3, "failed": 1}
+    hits = stored.hits(["bird"])
+    assert {r.url: r.snippets for r in hits.collect()} == {"https://a.org/b": ["<b>birds</b> sing"], "https://a.org/c": ["cats and <b>birds</b>"]}
+    plan = stored.hits(["bird", "cat"], snippets=False)._jdf.queryExecution().toString()
+    assert "PushedFilters: [In(term, [bird,cat])]" in plan
+    assert {r.term: r.df for r in stored.stats(["bird"]).collect()} == {"bird": 2}
+    ranks = {r.url: r.page_rank for r in stored.part("pages").collect()}
+    assert ranks["https://a.org/c"] > ranks["https://a.org/n"] > 0
+
+
 def test_suggestions(spark):
     log = spark.createDataFrame([("Birds", 1), ("bird feeder", 2), ("birds", 3), ("cats", 4), (" ", 5), (None, 6)], "query string, seq long")
     past = suggest.history(log)
@@ -128,7 +161,7 @@ def test_robots(spark):
     assert {r.url for r in crawl.allowed(spark.createDataFrame(links, "url string"), rules).collect()} == {"http://a.org/Private", "http://a.org/public", "http://b.org/private"}
 
 
-def test_crawl(spark):
+def test_crawl(spark, tmp_path):
     web = spark.createDataFrame(
         [("http://a.org", "A", "one", ["http://a.org/b/", "http://www.a.org/c?x"]), ("http://a.org/b", "B", "two", ["http://a.org/", "http://a.org/d"]), ("http://a.org/c", "B", "TWO", ["http://a.org/e"]), ("http://a.org/d", "D", "four", None), ("http://a.org/e", "E", "five", [])],
         "norm string, title string, content string, links array<string>",
@@ -136,11 +169,30 @@ def test_crawl(spark):
     start = spark.createDataFrame([("http://a.org",), ("http://A.org/",), (None,)], "url string")
     none = spark.createDataFrame([], "norm string, fingerprint string")
     rules = spark.createDataFrame([], "base string, disallow string")
-    got = {r.norm for r in crawl.crawl(start, web, rules, none, none).collect()}
-    assert got in ({"http://a.org", "http://a.org/b", "http://a.org/d"}, {"http://a.org", "http://a.org/c", "http://a.org/e"})
-    assert crawl.crawl(start, web, rules, none, none, dedup_content=False).count() == 5
-    assert crawl.crawl(start, web, rules, none, none, limit=2).count() == 2
-    assert crawl.crawl(start.limit(0), web, rules, none, none).count() == 0
+    whole = crawl.crawl(start, web, rules, none, none)
+    assert {(r.norm, r.depth) for r in whole.stored.collect()} == {("http://a.org", 0), ("http://a.org/b", 1), ("http://a.org/d", 2)}
+    assert whole.frontier.count() == 0 and whole.seen.count() == 4
+    assert crawl.crawl(start, web, rules, none, none, dedup_content=False).stored.count() == 5
+    some = crawl.crawl(start, web, rules, none, none, limit=2, dedup_content=False)
+    assert {r.norm for r in some.stored.collect()} == {"http://a.org", "http://a.org/b"}
+    assert {r.url for r in some.frontier.collect()} == {"http://www.a.org/c?x", "http://a.org/d"}
+    store.save_pending(some.frontier, str(tmp_path / "pending"))
+    again = crawl.start_urls(spark.read.parquet(str(tmp_path / "pending")), start)
+    prints = some.stored.select("fingerprint")
+    rest = crawl.crawl(again, web, rules, some.seen.where("norm <> 'http://a.org/c'"), prints, dedup_content=False)
+    assert {r.norm for r in rest.stored.collect()} == {"http://a.org/c", "http://a.org/d", "http://a.org/e"}
+    seeded = crawl.start_urls(start.limit(0), store.seeds(spark, __file__).limit(1))
+    assert seeded.count() == 1
+    assert crawl.crawl(start.limit(0), web, rules, none, none).stored.count() == 0
+
+
+def test_long_crawl(spark, monkeypatch):
+    """A chain of pages longer than the rounds after which seen keys are rewritten; the limit cuts it."""
+    web = spark.createDataFrame([(f"http://a.org/{i}", "t", str(i), [f"http://a.org/{i + 1}"]) for i in range(11)], "norm string, title string, content string, links array<string>")
+    start, none = spark.createDataFrame([("http://a.org/0",)], "url string"), spark.createDataFrame([], "norm string, fingerprint string")
+    rules = spark.createDataFrame([], "base string, disallow string")
+    got = crawl.crawl(start, web, rules, none, none)
+    assert {r.norm: r.depth for r in got.stored.collect()} == {f"http://a.org/{i}": i for i in range(11)}
 
 
 def ref_tables(spark):
@@ -248,4 +300,5 @@ def test_crawl_dedup_goes_beyond_the_page_limit(spark, tmp_path):
     )
     pages.write.parquet(f"{tmp_path}/visited_pages.parquet")
     pages.select("url").write.parquet(f"{tmp_path}/pending.parquet")
-    assert crawl_dedup(spark, str(tmp_path)).first().pages == n
+    pages.limit(0).write.parquet(f"{tmp_path}/removed_pages.parquet")
+    assert crawl_dedup(spark, str(tmp_path)).count() == n
