@@ -1,18 +1,40 @@
 """HTML functions on columns, without a DOM: a page is cut at its tags and a window keeps the open block."""
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Entities that are decoded; &amp; must come last.
+# Entities that are decoded even without their semicolon; &amp; must come last.
 ENTITIES = (("&lt;?", "<"), ("&gt;?", ">"), ("&quot;?", '"'), ("&copy;?", "©"), ("&middot;?", "·"), ("&nbsp;?", " "), ("&#39;", "'"), ("&amp;?", "&"))
 BLOCKS = ("h1", "h2", "h3", "p", "li")
 _INVISIBLE = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>"
 
 
+def _numbered(entity: Column) -> Column:
+    """The character of ``&#228;`` or ``&#xe4;``; the entity itself where there is none."""
+    digits = F.regexp_extract(entity, "(?i)^&#x?([0-9a-f]+);$", 1)
+    code = F.when(F.length(digits) < 8, F.when(entity.rlike("^&#[xX]"), F.conv(digits, 16, 10)).otherwise(F.conv(digits, 10, 10)).cast("long"))
+    char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+    return F.when((code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF), char).otherwise(entity)
+
+
+def _named(entity: Column) -> Column:
+    """The character of a named entity of HTML 4; the entity itself where there is none."""
+    own = {e.rstrip(";?") for e, _ in ENTITIES}
+    names = F.create_map(*[F.lit(x) for n, c in name2codepoint.items() if f"&{n}" not in own for x in (f"&{n};", chr(c))])
+    return F.coalesce(F.try_element_at(names, entity), entity)
+
+
 def decode(text: Column) -> Column:
+    """Numbered and named entities as characters. ``&amp;`` is decoded last, so nothing is decoded twice."""
+    others = F.array_distinct(F.regexp_extract_all(text, F.lit("(?i)&#[0-9]+;|&#x[0-9a-f]+;|&[a-z][a-z0-9]*;"), F.lit(0)))
+    known = F.filter(others, lambda e: e != "&amp;")
+    replaced = F.aggregate(known, text, lambda t, e: F.replace(t, e, F.when(e.startswith("&#"), _numbered(e)).otherwise(_named(e))))
+    out = F.when(text.rlike("&[#A-Za-z]"), replaced).otherwise(text)
     for e, c in ENTITIES:
-        text = F.regexp_replace(text, e, c)
-    return text
+        out = F.regexp_replace(out, e, c)
+    return out
 
 
 def squeeze(text: Column) -> Column:
@@ -46,7 +68,9 @@ def heading_texts(html: Column, level: int) -> Column:
 
 
 def hrefs(html: Column) -> Column:
-    return F.transform(F.regexp_extract_all(visible(html), F.lit(r"""(?is)<a\b[^>]*?\bhref\s*=\s*["']([^"']*)["']"""), F.lit(1)), decode)
+    """The ``href`` of every anchor that has one, in double, single or no quotes."""
+    raw = F.regexp_extract_all(visible(html), F.lit(r"""(?is)<a\b[^>]*?\shref\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""), F.lit(1))
+    return F.transform(raw, lambda x: decode(F.regexp_replace(x, r"""^["']|["']$""", "")))
 
 
 def _without_dots(path: Column) -> Column:

@@ -198,7 +198,7 @@ def _html(s: SparkSession, d: str) -> DataFrame:
     t = esc(F.coalesce("title", F.lit("")))
     lines = F.array_join(F.transform(F.split(F.coalesce("content", F.lit("")), "\n"), lambda x: F.concat(F.lit("<p>"), esc(x), F.lit("<br></p>"))), "\n")
     anchors = F.array_join(F.transform(F.coalesce("links", F.array().cast("array<string>")), lambda x: F.concat(F.lit('<a class="x" href="'), esc(x), F.lit('">go</a>'))), " ")
-    page = F.concat(F.lit("<html><head><title> "), t, F.lit('</title><script>f("</p>")</script></head><body class="b"><!-- <h2>no</h2> --><H1>'), t, F.lit("</H1>"), lines, F.lit("<ul><li>it<b>em</b> <p>inner</p></li></ul>"), anchors, F.lit("</body></html>"))
+    page = F.concat(F.lit("<html><head><title> "), t, F.lit('</title><script>f("</p>")</script></head><body class="b"><!-- <h4>no</h4> --><H1>'), t, F.lit("</H1><h2 class=x>"), t, F.lit(" &#8211; II</h2><H3>III&nbsp;&eacute; "), t, F.lit("</H3>"), lines, F.lit("<ul><li>it<b>em</b> <p>inner</p></li></ul>"), anchors, F.lit("</body></html>"))
     return _current(s, d).select("url", page.alias("html"))
 
 
@@ -207,6 +207,7 @@ def _sq(x: str) -> str:
 
 
 _TITLE = _sq("coalesce(title, '')")
+_SECOND, _THIRD = _sq("coalesce(title, '') || ' – II'"), _sq("'III é ' || coalesce(title, '')")
 
 
 @query(f"with {_CURRENT} select url, {_TITLE} as title from cur")
@@ -214,9 +215,9 @@ def page_title(s, d):
     return _html(s, d).select("url", html.title(F.col("html")).alias("title"))
 
 
-@query(f"with {_CURRENT} select url, [true, false, false] as headings, [{_TITLE}] as h1 from cur")
+@query(f"with {_CURRENT} select url, [true, true, true] as headings, [{_TITLE}] as h1, [{_SECOND}] as h2, [{_THIRD}] as h3 from cur")
 def page_headings(s, d):
-    return _html(s, d).select("url", html.headings(F.col("html")).alias("headings"), html.heading_texts(F.col("html"), 1).alias("h1"))
+    return _html(s, d).select("url", html.headings(F.col("html")).alias("headings"), *[html.heading_texts(F.col("html"), k).alias(f"h{k}") for k in (1, 2, 3)])
 
 
 @query(f"with {_CURRENT} select url, links from cur where len(list_filter(links, lambda x: x is null or not regexp_matches(x, '^[A-Za-z][A-Za-z0-9+.-]*:'))) = 0")
@@ -231,12 +232,12 @@ def page_links_all(s, d):
     return _html(s, d).select("url", html.links(F.col("html"), F.col("url")).alias("links"))
 
 
-@query(f"with {_CURRENT} select url, {_TITLE} || ' ' || array_to_string(list_transform(string_split(content, chr(10)), lambda l: {_sq('l')} || ' '), '') || 'item inner inner ' as content from cur")
+@query(f"with {_CURRENT} select url, {_TITLE} || ' ' || {_SECOND} || ' ' || {_THIRD} || ' ' || array_to_string(list_transform(string_split(content, chr(10)), lambda l: {_sq('l')} || ' '), '') || 'item inner inner ' as content from cur")
 def page_content(s, d):
     return html.block_text(_html(s, d), "url", "html")
 
 
-@query(f"with {_CURRENT} select url, {_sq('coalesce(title, chr(32)) || chr(32) || content || chr(32)')} || ' item inner' || case when len(links) > 0 then ' ' || array_to_string(list_transform(list_filter(links, lambda x: x is not null), lambda x: 'go'), ' ') else '' end as body from cur")
+@query(f"with {_CURRENT} select url, {_sq("coalesce(title, '') || ' ' || coalesce(title, '') || ' – II III é ' || coalesce(title, '') || ' ' || content || ' '")} || ' item inner' || case when len(links) > 0 then ' ' || array_to_string(list_transform(list_filter(links, lambda x: x is not null), lambda x: 'go'), ' ') else '' end as body from cur")
 def page_text(s, d):
     return _html(s, d).select("url", html.full_text(F.col("html")).alias("body"))
 

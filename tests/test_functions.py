@@ -147,3 +147,12 @@ def test_page_links_of_every_page(spark, tmp_path):
     spark.createDataFrame(rows, "page_id long, url string, title string, content string, links array<string>, page_rank double, stored_at string, crawled_at string").write.parquet(f"{tmp_path}/visited_pages.parquet")
     got = {r.url: r.links for r in page_links_all(spark, str(tmp_path)).collect()}
     assert got == {u: [urljoin(u, x.strip()) for x in v or [] if x is not None] for u, v in ((f"https://a.org/{p}", v) for p, v in links.items())}
+
+
+def test_entities_and_bare_links(spark):
+    page = "<a href=http://a.org/x?a=1&amp;b=2>x</a> <a class=y href='../z'>z</a><a data-href=no>n</a> &#228;&#xE9;&eacute;&euro; &amp;lt; &nosuch; &#0; &lt"
+    df = spark.createDataFrame([(page,), (None,), ("",)], "h string")
+    got = [r.l for r in df.select(html.hrefs(F.col("h")).alias("l")).collect()]
+    assert got == [["http://a.org/x?a=1&b=2", "../z"], None, []]
+    text = df.select(html.decode(F.col("h")).alias("t")).first().t
+    assert text.endswith("äéé€ &lt; &nosuch; &#0; <")
