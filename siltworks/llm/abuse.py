@@ -16,8 +16,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 LABELS = ("clean", "abusive", "hateful", "sexual")
+#: Reviewed documents, drawn by the hash of their id, that the model is fitted on at most.
 REVIEWED = 8000
 BITS, DIM = 17, 24
+#: Bounds of the fit on that sample: harmless sentences used in a round, drawn at random with a fixed seed, and gradient steps of a fit.
 EASY, STEPS = 16000, 400
 LEAST = (0.5, 0.6, 0.5, 0.35)
 NGRAMS = (3, 4, 5)
