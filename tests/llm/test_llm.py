@@ -271,6 +271,40 @@ def test_fit_does_not_depend_on_order_of_sets():
     assert stuffing.fit_prose(pages, [None] * len(pages)).filler_shares(spam).max() == 0
 
 
+def test_prose_of_stored_parts_is_that_of_all_pages(spark):
+    """Counts of parts sum up to the model of all pages in memory."""
+    texts = [([f"The {a} house stands near the {b} river.", f"It has {len(a + b)} old windows."], 1) for a in "abcdefgh" for b in "klmnop"]
+    texts += [(["cheap pills #one #two cheap cheap pills"] * (2 + k % 3), 30) for k in range(12)]
+    rows = [(i, str(i), "spam" if t[0].startswith("cheap") else "ok" if i % 3 else None, "\n".join(t), n, []) for i, (t, n) in enumerate(texts)]
+    stored = spark.createDataFrame(rows, "row long, page_id string, label string, content string, links int, furniture array<long>").repartition(5, "row")
+    fold = {r.page_id: r.fold for r in stored.select("page_id", F.pmod(F.xxhash64("page_id"), F.lit(stuffing.FOLDS)).alias("fold")).collect()}
+    order = sorted(range(len(rows)), key=lambda i: fold[str(i)])
+    half = [sum(1 for f in fold.values() if f == k) for k in range(2)]
+    few = min(half)  # fit_prose gives the folds in turn
+    order = [i for pair in zip([i for i in order if fold[str(i)] == 0][:few], [i for i in order if fold[str(i)] == 1][:few], strict=True) for i in pair]
+    here = stuffing.fit_prose([texts[i] for i in order], [rows[i][2] for i in order])
+    there = stuffing.fit_stored(stored.where(F.col("row").isin(order)))
+    assert (there.low, there.high) == pytest.approx((here.low, here.high))
+    assert all((a == b).all() for x, y in ((here.words, there.words), (here.lines, there.lines)) for c, d in zip(x.counts, y.counts, strict=True) for a, b in zip(c, d, strict=True))
+
+
+def test_prose_learns_from_every_reviewed_page(spark):
+    """Of 3400 reviewed pages the last 400 by the hash of their id are written text of a kind that the others don't show."""
+    rng = np.random.default_rng(6)
+    ids = [r.i for r in spark.range(3400).select(F.concat(F.lit("p"), F.col("id").cast("string")).alias("i")).orderBy(F.xxhash64("i")).collect()]
+    words = ["house", "river", "garden", "window", "road", "stone", "light", "field", "bread", "winter"]
+    plain = lambda: "\n".join(f"The {a} of the {b} was near a {c} and it stood there for many years." for a, b, c in rng.choice(words, (4, 3)))
+    spam = lambda: "\n".join(" ".join(f"#{w}" if k % 2 else w for k, w in enumerate(rng.choice(["cheap", "pills", "buy", "now", "deal"], 14))) for _ in range(4))
+    code = lambda: "\n".join(f"Set {a} = {n}; put {b} [{n}] = ({a} + {n}) * {b}; then give {a} / {b} % {n} - {n}; stop." for a, b in rng.choice(words, (4, 2)) for n in rng.integers(1, 99, 1))
+    kind = ["code" if k >= 3000 else "spam" if k % 10 == 0 else "plain" for k in range(3400)]
+    text = [{"code": code, "spam": spam, "plain": plain}[k]() for k in kind]
+    pages = spark.createDataFrame([(i, f"http://s{n % 40}.org/{i}", "T", t) for n, (i, t) in enumerate(zip(ids, text, strict=True))], "page_id string, url string, title string, content string")
+    labels = spark.createDataFrame([(i, "r", "spam" if k == "spam" else "ok") for i, k in zip(ids, kind, strict=True)], "page_id string, reviewer string, label string")
+    found = {r.page_id for r in stuffing.stuffed_pages(stuffing.labelled_pages(pages, labels)).collect()}
+    of = Counter(k for i, k in zip(ids, kind, strict=True) if i in found)
+    assert of["spam"] >= 290 and of["plain"] <= 10 and of["code"] <= 10
+
+
 def test_pages_edge_cases(spark):
     rows = [("A ", "http://a.org/1", None, "", "x"), ("b", None, "T", "\r\n \n", "x"), ("b", None, "T", "One line of text only", "x"), (None, "http://a.org/2", "T", None, "x"), ("c", "http://a.org/3", "T", "word " * 20000, "x"), ("c", "http://a.org/3", "T", "word " * 20000, "x")]
     pages = spark.createDataFrame(rows, "page_id string, url string, title string, content string, recurring string")
