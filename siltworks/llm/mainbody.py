@@ -2,22 +2,20 @@
 
 A logistic classifier prices each line as main text or furniture; adjacent lines, lines two apart and a list's heading
 with its entries are tied by smoothness edges. A minimum cut of that graph labels the page. The classifier is trained
-on a bounded sample of pages by weak supervision: lines that recur across their site, anything above the title and
+on the lines of all pages by weak supervision: lines that recur across their site, anything above the title and
 lists of other pages under such lines are furniture; the title, sentences and what stands between sentences are main.
 """
 
 import math
 import re
-from collections import Counter
+from collections.abc import Iterator
 from zlib import crc32
 
 import numpy as np
 
 BITS = 16
-#: Pages without regard to reviews, drawn by the hash of their id, that the line classifier is fitted on besides the reviewed ones.
-PAGES = 2000
-#: How often one and the same recurring line teaches the classifier.
-REPEATS = 40
+#: The occurrences of one and the same recurring line weigh as much as this part of the pages together at most, and as much as REPEATS lines at least.
+REPEAT_SHARE, REPEATS = 0.008, 40
 ADJACENT, NEAR = 0.55, 0.2
 #: Edge between a list's heading and an entry of a short list, and the number of entries at which it has halved.
 LISTED, HALF = 1.6, 8
@@ -258,38 +256,51 @@ def mask(s: str) -> str:
     return re.sub(r"\d+", "0", re.sub(r"\b[^\W\d_a-zß-ÿ]\w*(?: [^\W\d_a-zß-ÿ]\w*)*", "X", s[:1].lower() + s[1:]))
 
 
-def train(pages: list[Page], spam: list[bool], forms: set[str], epochs: int = 4, seed: int = 5) -> Classifier:
-    """Classifier fitted to weak labels by adaptive gradient steps. Without pages all weights are 0."""
-    code = Memo(bucket)
-    rows, labels, seen = [], [], Counter()
-    for p, filler in zip(pages, spam, strict=True):
-        for i, y in enumerate(p.weak_labels(forms, filler)):
-            s = p.lines[i]
-            if y >= 0 and (not p.recurs[i] or seen[s] < REPEATS):
-                seen[s] += 1
-                rows.append(np.array([code[f] for f in wording(s) + surroundings(p.setting(i), bool(_BULLET.match(s)))], np.int32))
-                labels.append(y)
+class Lessons:
+    """What the lines of pages teach: ``line, recurs, main, features`` of each line with a weak label."""
+
+    def __init__(self, forms: set[str]):
+        self.forms = forms
+        code = Memo(bucket)
+        self.line = Memo(lambda s: [code[f] for f in wording(s)])
+        self.place = Memo(lambda k: [code[f] for f in surroundings(*k)])
+
+    def of(self, page: Page, spam: bool) -> Iterator[tuple[str, bool, bool, bytes]]:
+        for i, y in enumerate(page.weak_labels(self.forms, spam)):
+            if y >= 0:
+                s = page.lines[i]
+                words = self.line[s] if len(s) < REMEMBERED else self.line.of(s)
+                yield s, page.recurs[i], y == MAIN, np.array(words + self.place[page.setting(i), bool(_BULLET.match(s))], "<u2").tobytes()
+
+
+def train(features: list[bytes], main: np.ndarray, weights: np.ndarray, epochs: int = 4, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of all features by adaptive gradient steps on lessons, and how much each feature occurs in them.
+
+    A lesson of weight w is taken up ceil(w) times, each time with the same part of w.
+    """
     w, scale = np.zeros(1 << BITS), np.full(1 << BITS, 1e-6)
-    if not rows:
-        return Classifier(w)
-    y, size = np.array(labels, float), np.array([len(r) for r in rows])
-    flat, starts = np.concatenate(rows), np.cumsum(size) - size
+    size = np.array([len(x) // 2 for x in features], np.int64)
+    flat, starts = np.frombuffer(b"".join(features), "<u2"), np.cumsum(size) - size
+    occurs = np.bincount(flat, np.repeat(weights, size), minlength=1 << BITS)
+    times = np.ceil(weights).astype(np.int64)
+    y, each = main.astype(float), weights / np.maximum(times, 1)
+    taken = np.repeat(np.arange(len(features)), times)
     rng = np.random.default_rng(seed)
     # whether a line recurs is how it got its label: hidden half of the time, so that the words must do
     hide = bucket("rTrue")
     for _ in range(epochs):
-        order = rng.permutation(len(y))
-        for k in range(0, len(y), 256):
+        order = rng.permutation(taken)
+        for k in range(0, len(order), 256):
             r = order[k : k + 256]
             who = np.repeat(np.arange(len(r)), size[r])
             f = flat[np.repeat(starts[r] - np.cumsum(size[r]) + size[r], size[r]) + np.arange(len(who))]
             x = np.where((f == hide) & (rng.random(len(f)) < 0.5), 0.0, 1.0)
             z = np.bincount(who, w[f] * x, minlength=len(r))
-            g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[r])[who] * x + 1e-4 * w[f]
+            g = ((1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[r]) * each[r])[who] * x + 1e-4 * w[f]
             at, back = np.unique(f, return_inverse=True)
             scale[at] += np.bincount(back, g * g)
             w[at] -= 0.25 * np.bincount(back, g) / np.sqrt(scale[at])
-    return Classifier(w)
+    return w, occurs
 
 
 def minimum_cut(odds: np.ndarray, edges: list[tuple[int, int, float]]) -> np.ndarray:

@@ -8,12 +8,14 @@ case. Reviews err: a page that a model of the reviewed filler explains better th
 fitted without the page, is not trained on as written text.
 """
 
+import itertools
 import math
 import re
 import uuid
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
@@ -27,8 +29,8 @@ from siltworks.llm.mainbody import MAIN, Classifier, Page
 from siltworks.operators.skew import sized_join
 from siltworks.session import remove_path, shared_folder
 
-#: Reviewed pages, drawn by the hash of their id, that the models are fitted on at most.
-REVIEWED = 3000
+#: Lines that one task learns from at a time, on average: the line classifier is fitted to shards of so many.
+SHARD_LINES = 200_000
 COMMON, COMMON_SHARE = 250, 0.02
 BLOCK_WORDS = 12
 ORDER, BACK = 3, 3.0
@@ -575,14 +577,11 @@ def _mask(line: Column) -> Column:
     return F.regexp_replace(s, r"(?U)\d+", "0")
 
 
-def recurring_forms(rows: DataFrame, wanted: set[str]) -> set[str]:
-    """Those of the wanted masked forms that lines have that recur on at least LEAST_SITES sites each."""
-    if not wanted:
-        return set()
-    asked = rows.sparkSession.createDataFrame([(w,) for w in sorted(wanted)], "form string")
+def recurring_forms(rows: DataFrame) -> set[str]:
+    """The masked forms of lines that recur on at least LEAST_SITES sites each; so few that the driver can have them."""
     both = F.arrays_zip(F.split("content", "\n").alias("line"), F.col("recurring").alias("recurs"))
     lines = rows.select("site", F.explode(F.filter(both, lambda x: x["recurs"])).alias("x")).select("site", F.trim(F.regexp_replace("x.line", "[ \\t\\r\\u00a0]+", " ")).alias("line"))
-    forms = lines.distinct().select("site", _mask(F.col("line")).alias("form")).join(F.broadcast(asked), "form", "left_semi")
+    forms = lines.distinct().select("site", _mask(F.col("line")).alias("form")).where("trim(both ' X.|' from form) <> ''")
     return {r["form"] for r in forms.groupBy("form").agg(F.count_distinct("site").alias("n")).where(f"n >= {LEAST_SITES}").collect()}
 
 
@@ -594,27 +593,50 @@ def review_labels(labels: DataFrame) -> DataFrame:
     return votes.where("page_id is not null and spam * 2 <> votes").select("page_id", F.when(F.col("spam") * 2 > F.col("votes"), "spam").otherwise("ok").alias("label"))
 
 
-def fit(pages: DataFrame, found: DataFrame, labels: DataFrame, sample: int = mainbody.PAGES, reviewed: int = REVIEWED) -> tuple[set[str], Classifier]:
-    """Title openings of all pages, and the line classifier from at most ``sample`` + ``reviewed`` pages.
+def fit_classifier(rows: DataFrame, openings: set[str]) -> Classifier:
+    """The line classifier, from every line of ``label, site, title, content, recurring`` that has a weak label.
 
-    Pages are drawn by the hash of their id; their texts are read once.
+    Equal lessons are counted; shards of about SHARD_LINES lines are learned from side by side, each by a hash of the
+    lesson, and a feature's weight is the mean of the shards' by how much it occurs in each. Repeated lines of a site
+    weigh less, see REPEAT_SHARE; none is left out.
     """
-    by_hash = lambda df, n: df.orderBy(F.xxhash64("page_id"), "page_id").limit(n)
-    ids = pages.where("content is not null and page_id is not null").select(F.lower(F.trim("page_id")).alias("page_id")).distinct()
-    sure = review_labels(labels)
-    picked = by_hash(sure.join(ids, "page_id", "left_semi"), reviewed)
-    chosen = by_hash(ids, sample).join(picked, "page_id", "full")
-    own = pages.withColumn("page_id", F.lower(F.trim("page_id"))).join(F.broadcast(chosen), "page_id")
-    labelled = own.select("page_id", "label").distinct().collect()
-    taken = prepared(own.select(*pages.columns), found).distinct().collect()
-    label = {r["page_id"]: r["label"] for r in labelled}
-    openings = title_openings(pages)
-    taken.sort(key=lambda r: (r["page_id"], r["content"], r["title"] or ""))
-    parsed = [Page(r["content"], r["title"], r["recurring"], openings) for r in taken]
-    spam = [label[r["page_id"]] == "spam" for r in taken]
-    masks = {mainbody.mask(s) for p in parsed for s, again in zip(p.lines, p.recurs, strict=True) if again}
-    forms = recurring_forms(prepared(pages, found), {m for m in masks if m.strip(" X.|")})
-    return openings, mainbody.train(parsed, spam, forms)
+    spark = rows.sparkSession
+    known = spark.sparkContext.broadcast((recurring_forms(rows), openings))
+
+    def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        forms, openings = known.value
+        lessons = mainbody.Lessons(forms)
+        for b in batches:
+            n = Counter()
+            for content, title, recurring, label in zip(b["content"], b["title"], b["recurring"], b["label"], strict=True):
+                n.update(lessons.of(Page(content, title, recurring, openings), label == "spam"))
+            for some in itertools.batched(n.items(), 50_000):
+                lines = [int.from_bytes(blake2b(k[0].encode(errors="replace"), digest_size=8).digest(), "little", signed=True) for k, _ in some]
+                yield pd.DataFrame({"line": lines, "recurs": [k[1] for k, _ in some], "main": [k[2] for k, _ in some], "features": [k[3] for k, _ in some], "n": [c for _, c in some]})
+
+    path = f"{shared_folder(spark)}/lessons-{uuid.uuid4().hex}"
+    given = rows.select("label", "title", "content", "recurring").mapInPandas(learn, "line long, recurs boolean, main boolean, features binary, n long")
+    given.groupBy("line", "recurs", "main", "features").agg(F.sum("n").alias("n")).write.parquet(path)
+    lessons = spark.read.parquet(path)
+    most = max(float(mainbody.REPEATS), mainbody.REPEAT_SHARE * rows.count())
+    # each on more than a part REPEAT_SHARE of the pages: few
+    often = lessons.where("recurs").groupBy("line").agg(F.sum("n").alias("of_line")).where(F.col("of_line") > most)
+    weighed = lessons.join(F.broadcast(often.withColumn("recurs", F.lit(True))), ["line", "recurs"], "left").withColumn("weight", F.col("n") * F.coalesce(F.lit(most) / F.col("of_line"), F.lit(1.0)))
+    shards = max(1, -(-int(weighed.agg(F.sum(F.ceil("weight"))).first()[0] or 0) // SHARD_LINES))
+
+    def fit(some: pd.DataFrame) -> pd.DataFrame:
+        some = some.sort_values(["line", "features", "main", "recurs"])
+        w, occurs = mainbody.train(list(some["features"]), some["main"].to_numpy(), some["weight"].to_numpy())
+        at = np.flatnonzero(occurs)
+        return pd.DataFrame({"feature": at, "w": w[at] * occurs[at], "n": occurs[at]})
+
+    exact = lambda c: F.sum(F.col(c).cast("decimal(38,12)")).cast("double")
+    fitted = weighed.withColumn("shard", F.pmod(F.xxhash64("line", "features", "main"), F.lit(shards))).groupBy("shard").applyInPandas(fit, "feature long, w double, n double")
+    weights = np.zeros(1 << mainbody.BITS)
+    for r in fitted.groupBy("feature").agg((exact("w") / exact("n")).alias("w")).collect():
+        weights[r["feature"]] = r["w"]
+    remove_path(spark, path)
+    return Classifier(weights)
 
 
 def main_lines(content: str, furniture: Iterable[int]) -> list[str]:
@@ -629,8 +651,13 @@ def separated(pages: DataFrame, labels: DataFrame) -> DataFrame:
     ``row`` is unique; rows of a page with equal ``mark`` are repeated.
     """
     spark = pages.sparkSession
-    found = frequent_line_ids(pages)
-    model = spark.sparkContext.broadcast(fit(pages, found, labels))
+    marked = prepared(pages, frequent_line_ids(pages)).withColumn("mark", F.xxhash64("site", "content", "title", "links", "recurring"))
+    reviewed = sized_join(marked, review_labels(labels), "page_id", F.col("mark"), F.length("page_id") + 8, how="left")
+    whole, parted = (f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}" for name in ("prepared", "separated"))
+    reviewed.withColumn("row", F.monotonically_increasing_id()).write.parquet(whole)
+    rows = spark.read.parquet(whole)
+    openings = title_openings(pages)
+    model = spark.sparkContext.broadcast((openings, fit_classifier(without_repeated(rows), openings)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         openings, classifier = model.value
@@ -639,14 +666,12 @@ def separated(pages: DataFrame, labels: DataFrame) -> DataFrame:
             for content, title, recurring in zip(b["content"], b["title"], b["recurring"], strict=True):
                 p = Page(content, title, recurring, openings)
                 furniture.append([n for n, k in zip(p.numbers, mainbody.label_lines(p, classifier), strict=True) if k != MAIN])
-            yield b[["mark", "page_id", "content", "links"]].assign(furniture=furniture)
-
-    rows = prepared(pages, found).withColumn("mark", F.xxhash64("content", "title", "links", "recurring")).drop("site")
-    lines = rows.mapInPandas(run, "mark long, page_id string, content string, links int, furniture array<long>")
-    reviewed = sized_join(lines, review_labels(labels), "page_id", F.col("mark"), F.length("page_id") + 8, how="left")
-    path = f"{shared_folder(spark)}/separated-{uuid.uuid4().hex}"
-    reviewed.withColumn("row", F.monotonically_increasing_id()).write.parquet(path)
-    return spark.read.parquet(path)
+            yield b[["row", "mark", "page_id", "label", "content", "links"]].assign(furniture=furniture)
+
+    schema = "row long, mark long, page_id string, label string, content string, links int, furniture array<long>"
+    rows.select("row", "mark", "page_id", "label", "content", "links", "title", "recurring").mapInPandas(run, schema).write.parquet(parted)
+    remove_path(spark, whole)
+    return spark.read.parquet(parted)
 
 
 def without_repeated(rows: DataFrame) -> DataFrame:

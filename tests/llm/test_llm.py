@@ -305,6 +305,28 @@ def test_prose_learns_from_every_reviewed_page(spark):
     assert of["spam"] >= 290 and of["plain"] <= 10 and of["code"] <= 10
 
 
+@pytest.mark.parametrize("shard", [200_000, 3_000])
+def test_furniture_is_learned_from_every_page(spark, monkeypatch, shard):
+    """A service line recurs on sites whose pages are the last by the hash of their id; where it stands once it is furniture as well."""
+    monkeypatch.setattr(stuffing, "SHARD_LINES", shard, raising=False)
+    rng = np.random.default_rng(7)
+    ids = [r.i for r in spark.range(2600).select(F.concat(F.lit("p"), F.col("id").cast("string")).alias("i")).orderBy(F.xxhash64("i")).collect()]
+    words = ["house", "river", "garden", "window", "road", "stone", "light", "field", "bread", "winter"]
+    prose = lambda: "The {} of the {} was near a {} and it stood there for many years.".format(*rng.choice(words, 3))
+    short = lambda: "The {} by the {}".format(*rng.choice(words, 2))
+    rows = []
+    for k, i in enumerate(ids):
+        site = f"own{k}" if k >= 2590 else f"late{k % 20}" if k >= 2000 else f"early{k % 20}"
+        inside = "save this text to the purple drawer" if k >= 2000 else short()
+        title = f"About {rng.choice(words)} {k}"
+        rows.append((i, f"http://{site}.org/{i}", title, "\n".join([f"Menu of {site}", title, prose(), inside, prose()])))
+    pages = spark.createDataFrame(rows, "page_id string, url string, title string, content string")
+    labels = spark.createDataFrame([], "page_id string, reviewer string, label string")
+    got = {r.page_id: set(r.furniture) for r in stuffing.labelled_pages(pages, labels).select("page_id", "furniture").collect()}
+    assert sum(4 in got[i] for i in ids[2590:]) == 10
+    assert sum(4 in got[i] for i in ids[:2000]) <= 20 and sum(bool({2, 3, 5} & got[i]) for i in ids) <= 20
+
+
 def test_pages_edge_cases(spark):
     rows = [("A ", "http://a.org/1", None, "", "x"), ("b", None, "T", "\r\n \n", "x"), ("b", None, "T", "One line of text only", "x"), (None, "http://a.org/2", "T", None, "x"), ("c", "http://a.org/3", "T", "word " * 20000, "x"), ("c", "http://a.org/3", "T", "word " * 20000, "x")]
     pages = spark.createDataFrame(rows, "page_id string, url string, title string, content string, recurring string")
