@@ -34,7 +34,7 @@ SHARD_LINES = 200_000
 COMMON, COMMON_SHARE = 250, 0.02
 BLOCK_WORDS = 12
 ORDER, BACK = 3, 3.0
-FOLDS, ROUNDS = 2, 2
+FOLDS, ROUNDS = 5, 2
 #: Part of the pages reviewed as 'ok' that is trusted: what the models tell apart less clearly isn't trained on.
 CLEAR = 0.98
 #: Part of the trusted pages without a review that the band may leave out at no cost.
@@ -404,7 +404,8 @@ def fit_written(classes: Classes, pages: "HeldPages | StoredPages") -> Prose:
         for table, m in enumerate((p.written[p.seq.page], np.ones(len(bins), bool))):
             yield table, *np.unique(bins[m], return_counts=True)
 
-    of_written, of_all = (pages.count(binned)[t] for t in (0, 1))
+    bins = pages.count(binned)
+    of_written, of_all = bins[0], bins[1]
     lows = [(0.0, 0.0), *((x, _quantile(of_written, x)) for x in (0.001, 0.01))]
     highs = np.linspace(_quantile(of_written, 0.5), (of_all[0][-1] + 1) / BINS, HIGHS)
 

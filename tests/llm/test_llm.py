@@ -278,10 +278,9 @@ def test_prose_of_stored_parts_is_that_of_all_pages(spark):
     rows = [(i, str(i), "spam" if t[0].startswith("cheap") else "ok" if i % 3 else None, "\n".join(t), n, []) for i, (t, n) in enumerate(texts)]
     stored = spark.createDataFrame(rows, "row long, page_id string, label string, content string, links int, furniture array<long>").repartition(5, "row")
     fold = {r.page_id: r.fold for r in stored.select("page_id", F.pmod(F.xxhash64("page_id"), F.lit(stuffing.FOLDS)).alias("fold")).collect()}
-    order = sorted(range(len(rows)), key=lambda i: fold[str(i)])
-    half = [sum(1 for f in fold.values() if f == k) for k in range(2)]
-    few = min(half)  # fit_prose gives the folds in turn
-    order = [i for pair in zip([i for i in order if fold[str(i)] == 0][:few], [i for i in order if fold[str(i)] == 1][:few], strict=True) for i in pair]
+    # fit_prose gives the folds in turn
+    each = [[i for i in range(len(rows)) if fold[str(i)] == k] for k in range(stuffing.FOLDS)]
+    order = [i for some in zip(*each, strict=False) for i in some]
     here = stuffing.fit_prose([texts[i] for i in order], [rows[i][2] for i in order])
     there = stuffing.fit_stored(stored.where(F.col("row").isin(order)))
     assert (there.low, there.high) == pytest.approx((here.low, here.high))
