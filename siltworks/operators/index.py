@@ -25,13 +25,28 @@ def tokens(pages: DataFrame, key: str, text: str, mode: str = "compat") -> DataF
 
     Positions count all tokens of the normalized text; tokens of up to two letters hold a position but are no terms.
     """
-    rows = pages.select(key, F.posexplode(index_tokens(F.col(text), mode)).alias("position", "token")).where("length(token) > 2")
+    return stemmed_tokens(token_lists(pages, key, text, mode), key)
+
+
+def token_lists(pages: DataFrame, key: str, text: str, mode: str = "compat") -> DataFrame:
+    """``key, tokens``: the tokens of each page in order. Kept, they spare the passes of stemmed_tokens the texts."""
+    return pages.select(key, index_tokens(F.col(text), mode).alias("tokens"))
+
+
+def stemmed_tokens(lists: DataFrame, key: str) -> DataFrame:
+    """``key, position, token, term`` of token_lists."""
+    rows = lists.select(key, F.posexplode("tokens").alias("position", "token")).where("length(token) > 2")
     return with_stems(rows, "token", "term").select(key, "position", "token", "term")
 
 
 def term_frequencies(pages: DataFrame, key: str, text: str, mode: str = "compat") -> DataFrame:
     """``key, term, frequency, tf, positions``: one row per page and stem; tf is the part of the page's counted tokens."""
-    found = tokens(pages, key, text, mode).groupBy(key, "term").agg(F.count("*").cast("int").alias("frequency"), F.sort_array(F.collect_list("position")).alias("positions"))
+    return frequencies_of(tokens(pages, key, text, mode), key)
+
+
+def frequencies_of(stemmed: DataFrame, key: str) -> DataFrame:
+    """``key, term, frequency, tf, positions`` of stemmed tokens."""
+    found = stemmed.groupBy(key, "term").agg(F.count("*").cast("int").alias("frequency"), F.sort_array(F.collect_list("position")).alias("positions"))
     total = F.sum("frequency").over(Window.partitionBy(key))
     return found.select(key, "term", "frequency", (F.col("frequency") / total).alias("tf"), "positions")
 

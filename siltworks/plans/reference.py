@@ -10,7 +10,7 @@ from siltworks.functions.porter import stem_sql, with_stem
 from siltworks.operators import crawl, graph, index, indexing, search, store, suggest
 from siltworks.operators.postings import indexed
 from siltworks.plans.sqlparts import key_sql
-from siltworks.session import shared_folder
+from siltworks.session import path_bytes, shared_folder
 from siltworks.sources import table
 from siltworks.streaming import incremental
 
@@ -645,8 +645,11 @@ def pager_window(s, d):
 def incremental_index(s, d):
     base = f"{shared_folder(s)}/stream-{s.range(1).select(F.uuid()).first()[0]}"
     schema = table(s, d, "documents").schema
-    incremental.index_stream(s, f"{d}/documents.parque[t]", schema, f"{base}/index", f"{base}/log", "doc_id", "text").awaitTermination()
-    return index.document_frequencies(s.read.parquet(f"{base}/index/postings"), "doc_id")
+    # two batches at least where the table has files for them
+    size = max(1, min(incremental.BATCH_BYTES, path_bytes(s, f"{d}/documents.parquet") * 2 // 3))
+    incremental.index_stream(s, f"{d}/documents.parque[t]", schema, f"{base}/index", f"{base}/log", "doc_id", "text", size).awaitTermination()
+    # the index has each document's term once
+    return s.read.parquet(f"{base}/index/postings").groupBy("term").agg(F.count("*").alias("df"))
 
 
 @query("select time_bucket(interval '1 hour', ts) as start, event_type, count(*) as n from events group by 1, 2")

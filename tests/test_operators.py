@@ -1,10 +1,14 @@
 import math
+import os
+from collections import Counter
+from pathlib import Path
 
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from siltworks.operators import crawl, graph, index, indexing, references, search, skew, store, suggest
+from siltworks.session import shared_folder
 from siltworks.streaming import incremental
 
 
@@ -289,6 +293,35 @@ def test_incremental_index(spark, tmp_path):
     assert df["bird"] == 2 and df["cat"] == 1 and "again" not in df
 
 
+def test_incremental_index_takes_many_small_files_as_one_batch(spark, tmp_path):
+    schema = "url string, content string"
+    for i in reversed(range(6)):
+        path = tmp_path / "in" / f"{i}"
+        spark.createDataFrame([(f"u{i}", "birds sing"), ("twice", f"{'abcdef'[i] * 4} flies")], schema).coalesce(1).write.parquet(str(path))
+        for f in path.glob("*.parquet"):
+            os.utime(f, (1_700_000_000 - i, 1_700_000_000 - i))  # the last file is the oldest
+    for name, size, batches in (("whole", {}, 1), ("single", {"batch_bytes": 1}, 6)):
+        at = tmp_path / name
+        incremental.index_stream(spark, str(tmp_path / "in/*"), schema, str(at / "i"), str(at / "c"), **size).awaitTermination()
+        assert len(list((at / "i/keys").glob("batch=*"))) == batches
+        rows = spark.read.parquet(str(at / "i/postings")).collect()
+        df = Counter(r.term for r in rows)
+        assert df["bird"] == 6 and df["ffff"] == 1 and not {"aaaa", "bbbb", "cccc", "dddd", "eeee"} & set(df)
+        assert {(r.frequency, r.tf) for r in rows if r.url == "twice"} == {(1, 0.5)}
+
+
+def test_incremental_index_query_over_several_files(spark, tmp_path):
+    from siltworks.plans.reference import incremental_index
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").repartition(4)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    before = set(Path(shared_folder(spark).removeprefix("file:")).glob("stream-*"))
+    got = {tuple(r) for r in incremental_index(spark, str(tmp_path)).collect()}
+    (new,) = set(Path(shared_folder(spark).removeprefix("file:")).glob("stream-*")) - before
+    assert 2 <= len(list((new / "index/keys").glob("batch=*"))) < 4
+    assert got == {tuple(r) for r in index.document_frequencies(index.term_frequencies(docs, "doc_id", "text"), "doc_id").collect()}
+
+
 def test_crawl_dedup_goes_beyond_the_page_limit(spark, tmp_path):
     from siltworks.plans.reference import crawl_dedup
 
